@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +89,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             begin = end
 
 
+def by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], least: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Call work on runs of rows sorted by their first column that end where that column changes."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut:
+                yield from work(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                rows -= cut
+    if held:
+        yield from work(pa.Table.from_batches(held))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift) over an array."""
     x = x ^ (x >> np.uint64(32))

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import components, staged
-from clausewise.llm.suffix_dedup import _by_key
+from clausewise.llm.common import by_key, components, staged
 
 NEIGHBOURS = 16
 WINDOW = 128
@@ -148,7 +147,7 @@ def _joined(lists: DataFrame, classes: DataFrame, linked: float, floor: float, k
         cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
         yield from _emitted([_nearest(node[x:y], unit[x:y], floor, linked, k) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _by_key(batches, work, 4096), "a long, b long, cosine double")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 4096), "a long, b long, cosine double")
 
 
 def _settled(pairs: DataFrame, classes: DataFrame, linked: float) -> DataFrame:
@@ -193,7 +192,7 @@ def _enlarged(placed: DataFrame, linked: float) -> DataFrame:
                 links[first] = hit @ copies[first]
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], names=["node", "links"])
 
-    counted = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _by_key(batches, work, 2 * BLOCK), "node long, links long")
+    counted = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 2 * BLOCK), "node long, links long")
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 

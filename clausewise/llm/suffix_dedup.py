@@ -17,7 +17,7 @@ ignored; texts are read whole (up to 256 MB each).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import mix, raw, slices
+from clausewise.llm.common import by_key, mix, raw, slices
 from clausewise.llm.prefix_free import repeated
 from clausewise.llm.triggers import GRAM, HEAD, LENGTH, Windows
 
@@ -46,27 +46,6 @@ def _merged(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return state, order
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], least: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Call work on runs of rows sorted by their first column that end where that column changes."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= least:
-            table = pa.Table.from_batches(held)
-            key = table.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield from work(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-                rows -= cut
-    if held:
-        yield from work(pa.Table.from_batches(held))
-
-
 def _heads(docs: DataFrame) -> DataFrame:
     """(key, uid, place) of each trigger; place holds the state in its two low bits; COPY rows have a free key."""
 
@@ -104,7 +83,7 @@ def _repeated_heads(heads: DataFrame) -> DataFrame:
         keep = (state == COPY) | (group > 1)
         yield pa.RecordBatch.from_arrays([pa.array(table.column(1).to_numpy()[keep]), pa.array(place[keep] >> 2)], names=["uid", "place"])
 
-    return heads.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _by_key(batches, work), "uid long, place long")
+    return heads.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work), "uid long, place long")
 
 
 def _intervals(texts: DataFrame) -> DataFrame:
@@ -160,7 +139,7 @@ def _decided(intervals: DataFrame) -> DataFrame:
             names=["state", "key", "uid", "span"],
         )
 
-    return intervals.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(lambda batches: _by_key(batches, work), "state int, key long, uid long, span long")
+    return intervals.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(lambda batches: by_key(batches, work), "state int, key long, uid long, span long")
 
 
 def _fragments(texts: DataFrame) -> DataFrame:
@@ -199,7 +178,7 @@ def _ordered(fragments: DataFrame) -> DataFrame:
         begin = table.column(2).to_numpy()[row[a]] + at[a]
         yield pa.RecordBatch.from_arrays([pa.array(table.column(1).to_numpy()[row[a]]), pa.array(begin << 28 | b - a + LENGTH)], names=["uid", "run"])
 
-    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _by_key(batches, work, 8192), "uid long, run long")
+    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 8192), "uid long, run long")
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
