@@ -86,6 +86,11 @@ def _repeated_heads(heads: DataFrame) -> DataFrame:
     return heads.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work), "uid long, place long")
 
 
+def _first(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns first; the others stay, so that all joins with the texts read one and the same exchange."""
+    return df.select(*names, *(F.col(f"`{c}`") for c in df.columns if c not in names))
+
+
 def _intervals(texts: DataFrame) -> DataFrame:
     """(key, whole, uid, span) of the intervals whose triggers are repeated; texts: (uid, text, places).
 
@@ -118,7 +123,7 @@ def _intervals(texts: DataFrame) -> DataFrame:
             key = np.where(state == COPY, mix(uid.view(np.uint64) + span.view(np.uint64)), key)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(uid), pa.array(span)], names=["key", "whole", "uid", "span"])
 
-    return texts.select("uid", "text", "places").mapInArrow(run, "key long, whole long, uid long, span long")
+    return _first(texts, "uid", "text", "places").mapInArrow(run, "key long, whole long, uid long, span long")
 
 
 def _decided(intervals: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def _fragments(texts: DataFrame) -> DataFrame:
             out = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[take].tobytes())])
             yield pa.RecordBatch.from_arrays([key, pa.array(np.repeat(rows.column(0).to_numpy(), per)), pa.array(begin), out], names=["key", "uid", "begin", "bytes"])
 
-    return texts.select("uid", "text", "spans").mapInArrow(run, "key long, uid long, begin long, bytes binary")
+    return _first(texts, "uid", "text", "spans").mapInArrow(run, "key long, uid long, begin long, bytes binary")
 
 
 def _ordered(fragments: DataFrame) -> DataFrame:
@@ -224,7 +229,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 digest.append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = texts.join(repeated_runs(texts.select("uid", "text")), "uid", "left")
+    joined = texts.join(repeated_runs(texts), "uid", "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -249,5 +254,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out = rows.select(range(rows.num_columns - 1))
             yield out.set_column(place, rows.schema.field(place).with_type(pa.string()), pa.array(new, pa.string()))
 
-    joined = texts.join(repeated_runs(texts.select("uid", "text")), "uid", "left")
+    joined = texts.join(repeated_runs(texts), "uid", "left")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "runs").mapInArrow(run, docs.schema)
