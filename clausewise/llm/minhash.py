@@ -30,8 +30,8 @@ PERMUTATIONS, BAND = 95, 5
 SKETCH_LEAST = 0.58
 
 _rng = np.random.default_rng(20240501)
-_MULTIPLY = _rng.integers(1, 1 << 32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
+_ADD = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
 
 
 def shingle_sets(text: pa.StringArray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +62,8 @@ def shingle_sets(text: pa.StringArray, words: int = WORDS) -> tuple[np.ndarray,
 def min_max(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The signature of each set, a row of 2 x PERMUTATIONS values; sets must not be empty."""
     out = np.empty((len(offsets) - 1, 2 * PERMUTATIONS), np.uint32)
-    low = (values & np.uint64(0xFFFFFFFF)) ^ (values >> np.uint64(32))
     for p in range(PERMUTATIONS):
-        hashed = ((low * _MULTIPLY[p] + _ADD[p]) >> np.uint64(32)).astype(np.uint32)
+        hashed = ((values * _MULTIPLY[p] + _ADD[p]) >> np.uint64(32)).astype(np.uint32)
         out[:, p] = np.minimum.reduceat(hashed, offsets[:-1])
         out[:, PERMUTATIONS + p] = np.maximum.reduceat(hashed, offsets[:-1])
     return out
