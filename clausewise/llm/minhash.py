@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import components, mix, raw, slices, staged, strings
+from clausewise.llm.common import by_key, components, mix, raw, slices, staged, strings
 from clausewise.llm.words import word_hashes
 
 WORDS = 5
 #: At a similarity of 0.75 a pair shares no band with a probability of (1 - 0.75**5)**38 < 0.00004.
-PERMUTATIONS, BAND = 95, 5
-#: Bucket pairs whose signatures agree in a smaller share cannot reach the threshold (over 5 standard errors below).
-SKETCH_LEAST = 0.58
+PERMUTATIONS, BAND, BANDED = 190, 5, 190
+#: Bucket pairs whose signatures of 380 values agree in a smaller share are no candidates: at a similarity of 0.75 the
+#: share is 3.8 standard errors higher, so a pair is lost with a probability below 0.0001.
+SKETCH_LEAST = 0.665
+BLOCK = 512
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLY = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -60,12 +62,12 @@ def shingle_sets(text: pa.StringArray, words: int = WORDS) -> tuple[np.ndarray,
 
 
 def min_max(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The signature of each set, a row of 2 x PERMUTATIONS values; sets must not be empty."""
+    """The signature of each set, a row of 2 x PERMUTATIONS values, of which bands use the first BANDED; sets must not be empty."""
     out = np.empty((len(offsets) - 1, 2 * PERMUTATIONS), np.uint32)
     for p in range(PERMUTATIONS):
         hashed = ((values * _MULTIPLY[p] + _ADD[p]) >> np.uint64(32)).astype(np.uint32)
-        out[:, p] = np.minimum.reduceat(hashed, offsets[:-1])
-        out[:, PERMUTATIONS + p] = np.maximum.reduceat(hashed, offsets[:-1])
+        out[:, 2 * p] = np.minimum.reduceat(hashed, offsets[:-1])
+        out[:, 2 * p + 1] = np.maximum.reduceat(hashed, offsets[:-1])
     return out
 
 
@@ -80,16 +82,16 @@ def signatures(docs: DataFrame) -> DataFrame:
             full = np.flatnonzero(n)
             bands = np.zeros((len(n), 0), np.int64)
             sketch = np.zeros((len(n), 2 * PERMUTATIONS), np.uint8)
-            counts = np.where(n > 0, 2 * PERMUTATIONS // BAND, 0)
+            counts = np.where(n > 0, BANDED // BAND, 0)
             if len(full):
                 heads = np.r_[offsets[:-1][full], offsets[-1]]
                 low[full] = np.add.reduceat(mix(values + np.uint64(1)), heads[:-1])
                 high[full] = np.add.reduceat(mix(values ^ np.uint64(0x5DEECE66D)), heads[:-1])
                 signature = min_max(values, heads)
                 sketch[full] = signature.astype(np.uint8)
-                key = np.zeros((len(full), 2 * PERMUTATIONS // BAND), np.uint64)
+                key = np.zeros((len(full), BANDED // BAND), np.uint64)
                 for k in range(BAND):
-                    key = mix(key * np.uint64(31) + signature[:, k :: BAND].astype(np.uint64) + np.uint64(k))
+                    key = mix(key * np.uint64(31) + signature[:, k:BANDED:BAND].astype(np.uint64) + np.uint64(k))
                 bands = mix(key + np.arange(key.shape[1], dtype=np.uint64)).view(np.int64)
             ends = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -100,18 +102,48 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "uid", "text").mapInArrow(run, "doc_id long, uid long, n long, low long, high long, bands array<long>, sketch binary")
 
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, sketch_a, sketch_b) whose sketches agree in enough places."""
+def _alike(placed: DataFrame, best: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, across components of a bucket whose sketches agree in enough places.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint8).reshape(rows.num_rows, -1) for i in (2, 3))
-            share = (left == right).mean(axis=1)
-            yield rows.filter(pa.array(share >= SKETCH_LEAST)).select([0, 1])
-
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    placed: (band, node, n, component, sketch). With `best`, only so many of the most alike for each class that is not
+    in its block's main component. Buckets are dealt to blocks of about BLOCK classes by hash, and each pair of blocks
+    is one unit of work; pairs that fail the sketch never become rows.
+    """
+    size = placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "blocks")
+    dealt = placed.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "own", "node", "n", "component", "sketch")
+
+    def compare(own: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
+        _, code, count = np.unique(component, return_inverse=True, return_counts=True)
+        if len(count) < 2:
+            return []
+        minor = np.flatnonzero(code != count.argmax())
+        across = len(np.unique(own)) > 1
+        found = []
+        for i in range(0, len(minor), 16):
+            m = minor[i : i + 16]
+            share = (sketch[m][:, None, :] == sketch[None]).mean(axis=2)
+            small, large = np.minimum(n[m][:, None], n[None]), np.maximum(n[m][:, None], n[None])
+            share[(code[m][:, None] == code[None]) | (100 * small < 75 * large) | (across & (own[m][:, None] == own[None]))] = 0
+            if best and share.shape[1] > best:
+                low = np.partition(share, -best, axis=1)[:, -best][:, None]
+                share[share < low] = 0
+            x, y = np.nonzero(share >= SKETCH_LEAST)
+            if len(x):
+                found.append(np.stack([np.minimum(node[m[x]], node[y]), np.maximum(node[m[x]], node[y])]))
+        return found
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, own, node, n, component = (table.column(i).to_numpy() for i in range(5))
+        values = table.column(5).to_pylist()
+        sketch = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+        cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        found = [f for x, y in zip(cuts[:-1], cuts[1:], strict=True) for f in compare(own[x:y], node[x:y], n[x:y], component[x:y], sketch[x:y])]
+        if found:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 2 * BLOCK), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, per_cent: int = 75) -> DataFrame:
@@ -150,26 +182,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1").select("band", "head")
     entries = staged(entries.join(shared, "band"), "buckets")
-    sketches = classes.select("node", "n", "sketch")
+    sketches = classes.select("node", "sketch")
     chosen = signed.join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("uid").alias("uid"))
     texts = staged(docs.join(chosen, "uid").groupBy("node").agg(F.first("text").alias("text")), "texts")
     # round 1: each class against the head that most of its buckets name
     most = entries.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
-    edges = staged(confirmed(most.select(F.col("head").alias("a"), F.col("node").alias("b")), texts), "links")
-    tried = most.select(F.col("head").alias("a"), F.col("node").alias("b"))
-    # later rounds: heads of the components in each bucket, then all pairs that remain across components
-    for last in (False, True):
-        member = components(edges)
-        placed = entries.join(member, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-        if last:
-            left, right = placed.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c")), placed.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("d"))
-            mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-            pairs = left.join(mixed, "band").join(right, "band").where("a < b and c <> d")
-        else:
-            heads = placed.groupBy("band").agg(F.min_by("node", F.struct("component", "node")).alias("a"), F.min("component").alias("c"), F.max("component").alias("y")).where("c <> y").select("band", "a", "c")
-            pairs = placed.withColumnRenamed("node", "b").withColumnRenamed("n", "n_b").where("component is not null").join(heads, "band").where("component <> c and a <> b").join(classes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-        pairs = pairs.where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = staged(_alike(pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")), "pairs")
+    edges = staged(confirmed(most.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")), texts), "links")
+    tried = most.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+    # later rounds: the most alike across components in each bucket, at last all pairs that remain across components
+    for best in (2, 2, None):
+        placed = entries.join(components(edges), "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+        pairs = staged(_alike(placed.join(sketches, "node"), best).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
         edges = staged(edges.union(confirmed(pairs, texts)), "links")
     return signed, edges
