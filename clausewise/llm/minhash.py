@@ -105,15 +105,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _alike(placed: DataFrame, best: int | None) -> DataFrame:
     """Pairs (a, b), a < b, across components of a bucket whose sketches agree in enough places.
 
-    placed: (band, node, n, component, sketch). With `best`, only so many of the most alike for each class that is not
+    placed: (t, band, node, n, component, sketch), t being the place of the band in the signature. With `best`, only so many of the most alike for each class that is not
     in its block's main component. Buckets are dealt to blocks of about BLOCK classes by hash, and each pair of blocks
-    is one unit of work; pairs that fail the sketch never become rows.
+    is one unit of work; pairs that fail the sketch never become rows, and a pair with several bands in common becomes
+    one in the first of them (as the sketches, which hold a byte of each value, tell).
     """
     size = placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "blocks")
     dealt = placed.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "own", "node", "n", "component", "sketch")
+    rows = dealt.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "own", "node", "n", "component", "sketch", "t")
 
-    def compare(own: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
+    def compare(t: int, own: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
         _, code, count = np.unique(component, return_inverse=True, return_counts=True)
         if len(count) < 2:
             return []
@@ -122,7 +123,10 @@ def _alike(placed: DataFrame, best: int | None) -> DataFrame:
         found = []
         for i in range(0, len(minor), 16):
             m = minor[i : i + 16]
-            share = (sketch[m][:, None, :] == sketch[None]).mean(axis=2)
+            equal = sketch[m][:, None, :] == sketch[None]
+            share = equal.mean(axis=2)
+            shared = equal[:, :, :BANDED].reshape(len(m), -1, BANDED // BAND, BAND).all(axis=3)
+            share[shared.argmax(axis=2) != t] = 0
             small, large = np.minimum(n[m][:, None], n[None]), np.maximum(n[m][:, None], n[None])
             share[(code[m][:, None] == code[None]) | (100 * small < 75 * large) | (across & (own[m][:, None] == own[None]))] = 0
             if best and share.shape[1] > best:
@@ -137,8 +141,9 @@ def _alike(placed: DataFrame, best: int | None) -> DataFrame:
         key, own, node, n, component = (table.column(i).to_numpy() for i in range(5))
         values = table.column(5).to_pylist()
         sketch = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+        t = table.column(6).to_numpy()
         cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-        found = [f for x, y in zip(cuts[:-1], cuts[1:], strict=True) for f in compare(own[x:y], node[x:y], n[x:y], component[x:y], sketch[x:y])]
+        found = [f for x, y in zip(cuts[:-1], cuts[1:], strict=True) for f in compare(int(t[x]), own[x:y], node[x:y], n[x:y], component[x:y], sketch[x:y])]
         if found:
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -179,7 +184,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = staged(signatures(docs).withColumn("node", F.xxhash64("low", "high")), "signatures")
     classes = staged(signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     # one text for each class that shares a bucket
-    entries = classes.select("node", "n", F.explode("bands").alias("band"))
+    entries = classes.select("node", "n", F.posexplode("bands").alias("t", "band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1").select("band", "head")
     entries = staged(entries.join(shared, "band"), "buckets")
     sketches = classes.select("node", "sketch")
@@ -191,7 +196,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = most.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
     # later rounds: the most alike across components in each bucket, at last all pairs that remain across components
     for best in (2, 2, None):
-        placed = entries.join(components(edges), "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+        placed = entries.join(components(edges), "node", "left").select("t", "band", "node", "n", F.coalesce("component", "node").alias("component"))
         pairs = staged(_alike(placed.join(sketches, "node"), best).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
         edges = staged(edges.union(confirmed(pairs, texts)), "links")
