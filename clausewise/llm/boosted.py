@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import Prefixes, raw
-from clausewise.llm.labelled import SAMPLE_ROWS, examples, sample, scored
+from clausewise.llm.labelled import SAMPLE_ROWS, fitted, sample, scored
 from clausewise.llm.words import cut
 
 BINS, DEPTH, TREES, RATE = 64, 5, 120, 0.1
@@ -151,10 +151,17 @@ def _add(feature: list, limit: list, left: list, right: list, value: list) -> No
         held.append(new)
 
 
+def _packed(text: pa.StringArray) -> list[bytes]:
+    return [x.tobytes() for x in statistics(text)]
+
+
+def _fit_packed(rows: list[bytes], label: np.ndarray) -> Trees:
+    return fit(np.array([np.frombuffer(x) for x in rows]).reshape(len(rows), -1), label)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
     """Fit on a bounded sample of the labelled rows that are not held out."""
-    packed, label = examples(sample(docs, labels, "quality", rows), lambda text: [x.tobytes() for x in statistics(text)])
-    return fit(np.array([np.frombuffer(x) for x in packed]).reshape(len(packed), -1), label)
+    return fitted(sample(docs, labels, "quality", rows), _packed, _fit_packed)
 
 
 def quality(docs: DataFrame, trees: Trees, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

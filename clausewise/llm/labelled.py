@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,16 +31,28 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def examples(sampled: DataFrame, features: Callable[[pa.StringArray], list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    """Features and labels of the sample, on the driver (bounded by the sample's rows), ordered by id."""
+def fitted(sampled: DataFrame, features: Callable[[pa.StringArray], list[bytes]], fit: Callable[[list[bytes], np.ndarray], object]) -> object:
+    """The model that `fit` makes of the sample's features and labels, ordered by id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    It is fitted in one task, which holds the bounded sample; only the model comes to the driver.
+    """
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in slices(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(features(text), pa.binary()), rows.column(2)], names=["doc_id", "x", "label"])
 
-    got = sampled.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, x binary, label int").toArrow()
-    got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable")))
-    return got.column("x").to_pylist(), got.column("label").to_numpy().astype(np.float64)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, labels = [], [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            rows += batch.column(1).to_pylist()
+            labels += batch.column(2).to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], rows[i]))
+        model = fit([rows[i] for i in order], np.array([labels[i] for i in order], np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    described = sampled.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(describe, "doc_id long, x binary, label int")
+    return pickle.loads(described.repartition(1).mapInArrow(learn, "model binary").first().model)
 
 
 def scored(docs: DataFrame, score: Callable[[pa.StringArray], np.ndarray], threshold: float, id_col: str = "doc_id") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import Prefixes, mix, raw, slices
-from clausewise.llm.labelled import SAMPLE_ROWS, examples, sample, scored
+from clausewise.llm.labelled import SAMPLE_ROWS, fitted, sample, scored
 from clausewise.llm.words import cut
 
 BITS = 21
@@ -127,10 +127,13 @@ def _packed(text: pa.StringArray) -> list[bytes]:
     return [bucket[offsets[i] : offsets[i + 1]].astype(np.int32).tobytes() for i in range(len(text))]
 
 
+def _fit_packed(rows: list[bytes], label: np.ndarray) -> Machine:
+    return fit([np.frombuffer(x, np.int32) for x in rows], label)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on a bounded sample of the labelled rows that are not held out."""
-    packed, label = examples(sample(docs, labels, "toxic", rows), _packed)
-    return fit([np.frombuffer(x, np.int32) for x in packed], label)
+    return fitted(sample(docs, labels, "toxic", rows), _packed, _fit_packed)
 
 
 def toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
