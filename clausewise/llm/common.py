@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an operator's arrays cover at once, so that a worker's memory does not follow the batch size.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -75,6 +76,15 @@ def raw(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Give freed memory back at a task's end: workers live on, and several share one executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no such call in this C library
+        return
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
     """Cut batches into runs of whole rows of about `limit` bytes of text; one row may be longer."""
     for batch in batches:
@@ -87,6 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, "right")) - 1)
             yield batch.slice(begin, end - begin), text.slice(begin, end - begin)
             begin = end
+    trim()
 
 
 def by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], least: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -108,6 +119,8 @@ def by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterato
                 rows -= cut
     if held:
         yield from work(pa.Table.from_batches(held))
+    del held
+    trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

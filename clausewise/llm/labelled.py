@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import slices
+from clausewise.llm.common import slices, trim
 
 #: Labelled rows that a classifier is fitted on, at most.
 SAMPLE_ROWS = 12_000
@@ -50,6 +50,8 @@ def fitted(sampled: DataFrame, features: Callable[[pa.StringArray], list[bytes]]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], rows[i]))
         model = fit([rows[i] for i in order], np.array([labels[i] for i in order], np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        del rows, model
+        trim()
 
     described = sampled.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(describe, "doc_id long, x binary, label int")
     return pickle.loads(described.repartition(1).mapInArrow(learn, "model binary").first().model)

@@ -183,7 +183,7 @@ def _ordered(fragments: DataFrame) -> DataFrame:
         begin = table.column(2).to_numpy()[row[a]] + at[a]
         yield pa.RecordBatch.from_arrays([pa.array(table.column(1).to_numpy()[row[a]]), pa.array(begin << 28 | b - a + LENGTH)], names=["uid", "run"])
 
-    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 8192), "uid long, run long")
+    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 4096), "uid long, run long")
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
