@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.functions import text as T
-from clausewise.operators import chunking, ranking, relational
+from clausewise.functions.embed import embedded
+from clausewise.operators import chunking, ranking, relational, resolution
 from clausewise.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -358,6 +359,76 @@ def extractive_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.top_k(lines, ["doc_id"], [F.desc("n"), F.col("line")], 1).drop("rank")
 
 
+def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as operations: a user is an account, a residue of the event the clause, another the amendment."""
+    rows = _table(spark, sf_dir, "events").where("event_type in ('purchase', 'error', 'signup')")
+    return rows.selectExpr(
+        "cast(user_id as string) AS account", "cast(event_id as string) AS op_id", "cast(event_id % 3 as string) AS amendment", "'f' AS form", "cast(ts as date) AS effective", "0 AS ord", "event_id AS op_no",
+        "CASE event_type WHEN 'purchase' THEN 'REPLACE' WHEN 'error' THEN 'DELETE' ELSE 'AMEND_DEF' END AS kind", "cast(event_id % 4 as string) AS path", "cast(event_id as string) AS text", "cast(null as string) AS label",
+        "cast(null as array<struct<labels:array<string>,text:string>>) AS fragments", "'resolved' AS status", "cast(null as string) AS schedule_key", "cast(null as map<string,string>) AS values",
+    )
+
+
+@_query("""WITH o AS (SELECT user_id, event_id, CAST(ts AS DATE) AS day, event_id % 4 AS path, event_id % 3 AS amendment FROM events
+WHERE event_type IN ('purchase', 'error', 'signup') AND CAST(ts AS DATE) <= DATE '2024-01-20')
+SELECT CAST(a.user_id AS VARCHAR) AS account, CAST(a.path AS VARCHAR) AS path, CAST(a.event_id AS VARCHAR) AS earlier, CAST(b.event_id AS VARCHAR) AS later
+FROM o a JOIN o b ON a.user_id = b.user_id AND a.path = b.path AND a.day = b.day AND a.amendment <> b.amendment AND a.event_id < b.event_id""")
+def resolution_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts met while all operations in force at a date are folded on every account's clauses."""
+    base = spark.range(4).selectExpr("cast(id as string) AS path", "cast(id as int) AS ordinal", "'base' AS text")
+    got = resolution.resolve(_operations(spark, sf_dir), base, F.lit("2024-01-20").cast("date"))
+    return got.changed.select("account", "path", F.explode("conflicts").alias("c")).select("account", "path", "c.earlier", "c.later")
+
+
+@_query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY CAST(ts AS DATE), event_id) AS seq FROM events
+WHERE event_type IN ('purchase', 'error', 'signup') AND CAST(ts AS DATE) <= DATE '2024-01-20'),
+l AS (SELECT user_id, event_id % 4 AS path, coalesce(max(seq) FILTER (event_type = 'purchase'), 0) AS r, coalesce(max(seq) FILTER (event_type = 'error'), 0) AS d, count(*) AS n FROM o GROUP BY ALL)
+SELECT CAST(l.user_id AS VARCHAR) AS account, CAST(l.path AS VARCHAR) AS path, l.d <= l.r AS active, l.n AS n_lineage,
+CASE WHEN l.r = 0 THEN concat_ws(' ', 'base', string_agg(CASE WHEN o.event_type = 'signup' THEN CAST(o.event_id AS VARCHAR) END, ' ' ORDER BY o.seq))
+ELSE string_agg(CASE WHEN o.seq = l.r OR (o.event_type = 'signup' AND o.seq > l.r) THEN CAST(o.event_id AS VARCHAR) END, ' ' ORDER BY o.seq) END AS text
+FROM l JOIN o ON o.user_id = l.user_id AND o.event_id % 4 = l.path GROUP BY l.user_id, l.path, l.r, l.d, l.n""")
+def resolution_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, state and length of lineage of every changed clause at a date."""
+    base = spark.range(4).selectExpr("cast(id as string) AS path", "cast(id as int) AS ordinal", "'base' AS text")
+    got = resolution.resolve(_operations(spark, sf_dir), base, F.lit("2024-01-20").cast("date"))
+    return got.changed.select("account", "path", "active", F.size("lineage").cast("long").alias("n_lineage"), "text")
+
+
+@_query("""WITH base AS (SELECT CAST(r_regionkey AS VARCHAR) AS path, r_regionkey * 100 AS anchor FROM region
+UNION ALL SELECT n_regionkey || '.' || n_nationkey, n_regionkey * 100 + n_nationkey + 1 FROM nation)
+SELECT path, CAST(anchor AS BIGINT) AS anchor, false AS added FROM base
+UNION ALL SELECT path || '.' || s_suppkey, CAST(anchor AS BIGINT), true FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN base ON path = n_regionkey || '.' || n_nationkey""")
+def resolution_materialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole form with its additions: regions and nations are clauses, suppliers are added below their nations."""
+    nation = _table(spark, sf_dir, "nation")
+    regions = _table(spark, sf_dir, "region").selectExpr("'f' AS base_form", "cast(r_regionkey as string) AS path", "cast(r_regionkey * 100 as int) AS ordinal", "r_name AS text")
+    base = regions.unionByName(nation.selectExpr("'f' AS base_form", "concat_ws('.', n_regionkey, n_nationkey) AS path", "cast(n_regionkey * 100 + n_nationkey + 1 as int) AS ordinal", "n_name AS text"))
+    ops = _table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr(
+        "'a' AS account", "cast(s_suppkey as string) AS op_id", "'x' AS amendment", "'F' AS form", "date'2024-01-01' AS effective", "0 AS ord", "cast(s_suppkey as bigint) AS op_no", "'ADD' AS kind",
+        "concat_ws('.', n_regionkey, n_nationkey) AS path", "s_name AS text", "cast(s_suppkey as string) AS label", "cast(null as array<struct<labels:array<string>,text:string>>) AS fragments", "'resolved' AS status",
+        "cast(null as string) AS schedule_key", "cast(null as map<string,string>) AS values",
+    )
+    changed = resolution.resolve(ops, base, F.lit("2024-01-01").cast("date")).changed
+    accounts = ops.select("account", F.lit("f").alias("base_form"))
+    return resolution.materialise(base, accounts, changed).select("path", "anchor", "added")
+
+
+@_query(r"""WITH t AS (SELECT DISTINCT regexp_extract(lower(text), '[a-z]+ [a-z]+') AS term FROM benchmark),
+d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS words FROM documents)
+SELECT doc_id, term, place FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, term) AS place
+FROM d JOIN t ON length(term) >= 4 AND contains(words, ' ' || term || ' ')) WHERE place <= 2""")
+def pull_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two longest known terms that each document uses."""
+    terms = _table(spark, sf_dir, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z]+ [a-z]+", 0).alias("term")).distinct()
+    return ranking.definitions(_table(spark, sf_dir, "documents"), terms, "doc_id", "text")
+
+
+@_query()
+def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash embedder's vector of each benchmark passage."""
+    return embedded(_table(spark, sf_dir, "benchmark"), "text").select("item_id", "embedding")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
