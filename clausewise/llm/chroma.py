@@ -1,8 +1,9 @@
 """Audio fingerprints from pitch-class frames, and the alignment of recordings.
 
 Samples become frames of twelve pitch classes; an integral image over (time, pitch class) gives the areas of 16 filters
-in constant time, each quantised to two bits: one packed 32-bit integer for each frame. Recordings are aligned by the
-histogram of the offsets between equal integers, and judged by the share of bits that differ along the best offset.
+in constant time, each quantised to two bits: one packed 32-bit integer for each frame. Every query meets every recording
+at every offset that leaves overlap enough; most offsets are told off by some of the integers (neighbours have 15 of 16
+frames in common), the others are judged by the share of bits that differ over the overlap, so that excerpts match.
 
 Defined results: a recording that is null or shorter than FILTER_FRAMES frames has no integers and matches nothing; rows
 are kept one for one; rows with equal fingerprints form one class and match with no bit in error; a null id is no query
@@ -12,20 +13,25 @@ and never a best match's name if another row has an id; other columns are ignore
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import mix, raw, slices, staged
+from clausewise.llm.common import raw, slices, staged, trim
 
 RATE, FRAME, HOP = 8000, 512, 64
 FILTER_FRAMES = 16
 LOW_HZ, HIGH_HZ = 55.0, 3520.0
 MOST_ERROR = 0.2
-BANDS, BAND_ROWS = 24, 4
+#: Items that an overlap should have (0.26 s), so that chance does not align unrelated recordings.
+LEAST = 32
+#: Offsets are first judged on every fourth (second) integer of a recording of 8 such steps or more, with so much more error.
+STEPS, SLACK = (2, 4), 0.05
+#: Integers of queries that one pass holds, integers of other recordings that meet them at once, offsets judged at once.
+QUERY_ITEMS, ROW_ITEMS, CELLS = 1 << 18, 1 << 18, 1 << 17
 
 #: The filters by rule: shape, first pitch class, pitch classes and frames that each covers.
 FILTERS = [(i % 6, (5 * i) % (13 - h), h, w) for i in range(16) for h, w in [((3, 4, 6, 9)[i % 4], (4, 8, 12, 16)[(i // 2) % 4])]]
@@ -93,68 +99,167 @@ def fingerprint(chroma: np.ndarray) -> np.ndarray:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
-    """(offset of b's begin in a, share of differing bits over the overlap and what is left over) at the most voted offset.
+def needed(n_a: np.ndarray | int, n_b: np.ndarray | int) -> np.ndarray:
+    """Items that an overlap should have: half of the shorter recording, and LEAST or else the whole longer one."""
+    return np.maximum((np.minimum(n_a, n_b) + 1) // 2, np.minimum(np.maximum(n_a, n_b), LEAST))
 
-    Votes are equal integers; each value's places are paired rank by rank, so that runs of one value stay linear.
-    Items of the longer recording without a partner count as half wrong, as unrelated bits would.
-    """
-    votes: dict[int, int] = {0: 0}
-    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    for side in (False, True):  # first places paired with first places, then last with last
-        rank_a, rank_b = _rank(a, order_a, side), _rank(b, order_b, side)
-        key_a, key_b = a.astype(np.uint64) << np.uint64(32) | rank_a, b.astype(np.uint64) << np.uint64(32) | rank_b
-        _, x, y = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
-        for off, n in zip(*np.unique(x - y, return_counts=True), strict=True):
-            votes[int(off)] = votes.get(int(off), 0) + int(n)
-    best = min(votes, key=lambda off: (-votes[off], abs(off), off))
-    begin, end = max(0, best), min(len(a), best + len(b))
-    if end <= begin:
-        return best, 0.5
-    wrong = int(np.bitwise_count(a[begin:end] ^ b[begin - best : end - best]).sum())
-    longest = max(len(a), len(b))
-    return best, (wrong + 16 * (longest - (end - begin))) / (32 * longest)
-
-
-def _rank(values: np.ndarray, order: np.ndarray, from_end: bool) -> np.ndarray:
-    """How many equal values come before (after) each."""
-    ordered = values[order]
-    head = np.r_[True, ordered[1:] != ordered[:-1]]
-    first = np.flatnonzero(head)
-    size = np.diff(np.r_[first, len(values)])
-    place = np.arange(len(values)) - np.repeat(first, size)
-    out = np.empty(len(values), np.uint64)
-    out[order] = np.repeat(size, size) - 1 - place if from_end else place
-    return out
 
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
+    """(offset of b's begin in a, share of differing bits over the overlap) at the best of all offsets.
 
-def bands(items: np.ndarray) -> list[int]:
-    """Band keys of a min-hash over the distinct integers."""
-    salt = np.arange(BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    low = mix(np.unique(items).astype(np.uint64) + salt[:, None]).min(axis=1)
-    key = np.zeros(BANDS, np.uint64)
-    for k in range(BAND_ROWS):
-        key = mix(key * np.uint64(31) + low[k::BAND_ROWS])
-    return mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+    Items that an overlap lacks of those needed() count as half wrong, as unrelated bits would. Every offset is tried:
+    this is the definition that matched() is tested against.
+    """
+    need, best = int(needed(len(a), len(b))), (1.0, 0, 0)
+    for off in range(1 - len(b), len(a)):
+        begin, end = max(0, off), min(len(a), off + len(b))
+        wrong = int(np.bitwise_count(a[begin:end] ^ b[begin - off : end - off]).sum())
+        best = min(best, ((wrong + 16 * max(0, need - end + begin)) / (32 * max(need, end - begin)), abs(off), off))
+    return best[2], best[0]
+
+
+class Recordings:
+    """Many recordings' integers end to end; those of like length also side by side, in columns by length."""
+
+    def __init__(self, items: np.ndarray, offsets: np.ndarray):
+        self.items, self.first, self.size = items, offsets[:-1], np.diff(offsets)
+        nxt = np.r_[items[1:], np.zeros(1, np.uint32)]
+        self.twos = items.astype(np.uint64) | nxt.astype(np.uint64) << np.uint64(32)
+        order = np.argsort(self.size, kind="stable")
+        like = (np.log(np.maximum(self.size[order], 1)) / np.log(1.2)).astype(int)
+        self.groups = []
+        for own in np.split(order, np.flatnonzero(np.diff(like)) + 1):
+            wide = int(self.size[own].max(initial=0))
+            table = np.zeros((3 * wide, len(own)), np.uint32)
+            for column, r in enumerate(own):
+                table[wide : wide + self.size[r], column] = items[self.first[r] : self.first[r] + self.size[r]]
+            self.groups.append((own, wide, table))
+
+
+def _judged(x: Recordings, y: Recordings, a: np.ndarray, b: np.ndarray, off: np.ndarray, most: float) -> tuple[np.ndarray, ...]:
+    """(a, b, offset, error) of those alignments of recordings a of x and b of y that err in at most `most`; others stop early."""
+    n_a, n_b = x.size[a], y.size[b]
+    begin = np.maximum(0, off)
+    over = np.minimum(n_a, off + n_b) - begin
+    need = needed(n_a, n_b)
+    whole = np.maximum(need, over)
+    wrong = 16 * np.maximum(0, need - over)
+    live = np.flatnonzero((over > 0) & (wrong <= 32 * most * whole))
+    at_x, at_y = x.first[a] + begin, y.first[b] + begin - off
+    done = []
+    k = 0
+    while len(live):
+        more = over[live] - k
+        differ = x.twos[at_x[live] + k] ^ y.twos[at_y[live] + k]
+        differ[more == 1] &= np.uint64(0xFFFFFFFF)
+        now = wrong[live] + np.bitwise_count(differ)
+        wrong[live] = now
+        k += 2
+        good = now <= 32 * most * whole[live]
+        done.append(live[good & (more <= 2)])
+        live = live[good & (more > 2)]
+    hit = np.concatenate(done) if done else np.zeros(0, np.int64)
+    return a[hit], b[hit], off[hit], wrong[hit] / (32 * whole[hit])
+
+
+def _near(x: Recordings, y: Recordings, most: float, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, offset of a's begin in b) for a of x and longer (with `equal`, not shorter) b of y that every step-th integer lets pass."""
+    for m in np.unique(x.size):
+        same = np.flatnonzero(x.size == m)
+        step = max((s for s in STEPS if 8 * s <= m), default=1)
+        slack = SLACK if step > 1 else 1e-9
+        at = np.arange(0, m, step)
+        for own, wide, table in y.groups:
+            begin = int(np.searchsorted(y.size[own], m, "left" if equal else "right"))
+            n = y.size[own[begin:]]
+            if not len(n):
+                continue
+            need = needed(m, n)
+            least = max(1, int(np.ceil((0.5 - most) * 2 * need.min() - 1e-9)))  # a shorter overlap's charge alone is too much
+            off = np.arange(least - m, wide - least + 1)
+            if not len(off):
+                continue
+            over = np.minimum(m, n - off[:, None]) - np.maximum(0, -off)[:, None]
+            low, high = np.searchsorted(at, -off), np.searchsorted(at, n - off[:, None])
+            rate = np.maximum(0, high - low[:, None]) / np.maximum(over, 1)
+            limit = (32 * (most + slack) * np.maximum(need, over) - 16 * np.maximum(0, need - over)) * rate
+            limit[over <= 0] = -1
+            each = max(1, CELLS // limit.size)
+            for i in range(0, len(same), each):
+                part = same[i : i + each]
+                value = x.items[x.first[part][:, None] + at]
+                bits = np.cumsum(np.c_[np.zeros(len(part), np.int32), np.bitwise_count(value)], axis=1, dtype=np.int32)
+                wrong = np.zeros((len(part), *limit.shape), np.uint16)
+                for k, place in enumerate(at):
+                    row = wide + off[0] + place
+                    wrong += np.bitwise_count(table[row : row + len(off), begin:] ^ value[:, k, None, None])
+                # integers beside the column met zeros
+                beside = bits[:, low][:, :, None] + bits[:, -1:, None] - bits[:, high]
+                p, o, c = np.nonzero(wrong <= limit + beside)
+                yield part[p], own[begin + c], off[o]
+
+
+def matches(x: Recordings, y: Recordings, most: float) -> tuple[np.ndarray, ...]:
+    """(a, b, offset, error): the best alignment of each pair of x and y that errs in at most `most`."""
+    found = [_judged(x, y, a, b, -off, most) for a, b, off in _near(x, y, most, True) if len(a)]
+    found += [_judged(x, y, a, b, off, most) for b, a, off in _near(y, x, most, False) if len(a)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    a, b, off, error = (np.concatenate([f[i] for f in found]) for i in range(4))
+    order = np.lexsort((off, np.abs(off), error, b, a))
+    a, b, off, error = a[order], b[order], off[order], error[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return a[new], b[new], off[new], error[new]
 
 
 def fingerprints(recordings: DataFrame, id_col: str, audio_col: str) -> DataFrame:
-    """(id, n_frames, items array<int>, bands array<long>) of each row; audio: binary or string of unsigned 8-bit samples."""
+    """(id, n_frames, items array<int>) of each row; audio: binary or string of unsigned 8-bit samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, audio in slices(batches, "audio"):
             data, offsets = raw(audio)
-            n, items, keys = [], [], []
+            n, items = [], []
             for i in range(rows.num_rows):
                 chroma = frames(data[offsets[i] : offsets[i + 1]])
                 own = fingerprint(chroma)
                 n.append(len(chroma))
                 items.append(own.view(np.int32))
-                keys.append(bands(own) if len(own) else [])
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_frames", "items", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int32()))], names=["id", "n_frames", "items"])
 
     audio = F.col(audio_col) if dict(recordings.dtypes)[audio_col] == "string" else F.decode(F.col(audio_col), "ISO-8859-1")
-    return recordings.select(F.col(id_col).cast("long").alias("id"), audio.alias("audio")).mapInArrow(run, "id long, n_frames long, items array<int>, bands array<long>")
+    return recordings.select(F.col(id_col).cast("long").alias("id"), audio.alias("audio")).mapInArrow(run, "id long, n_frames long, items array<int>")
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> Recordings:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    return Recordings(column.flatten().to_numpy().view(np.uint32), np.r_[0, np.cumsum(size)].astype(np.int64))
+
+
+def _against(asked: pa.Table, most: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches (class, items) to their matches (a, b, offset, error) with the queries a."""
+    held = asked.column(1).combine_chunks()
+    name, flat, sizes = asked.column(0).to_numpy(), held.flatten().to_numpy().view(np.uint32), held.value_lengths().to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            queries = queries or Recordings(flat, np.r_[0, np.cumsum(sizes)].astype(np.int64))
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + ROW_ITEMS, "right")))
+                part = batch.slice(begin, end - begin)
+                begin = end
+                a, b, off, error = matches(queries, _flat(part.column(1)), most)
+                left, right = name[a], part.column(0).to_numpy()[b]
+                other = left != right
+                yield pa.RecordBatch.from_arrays([pa.array(left[other]), pa.array(right[other]), pa.array(off[other]), pa.array(error[other])], names=["a", "b", "offset", "error"])
+        trim()
+
+    return run
 
 
 def matched(recordings: DataFrame, id_col: str = "page_id", audio_col: str = "html", step: int = 50, most_error: float = MOST_ERROR) -> DataFrame:
@@ -165,20 +270,16 @@ def matched(recordings: DataFrame, id_col: str = "page_id", audio_col: str = "ht
     """
     rows = staged(fingerprints(recordings, id_col, audio_col).withColumn("class", F.xxhash64("items")), "fingerprints")
     query = F.coalesce(F.col("id") % step == 0, F.lit(False))
-    classes = staged(rows.where(F.size("items") > 0).groupBy("class").agg(F.first("items").alias("items"), F.first("bands").alias("bands"), F.min("id").alias("least"), F.count("*").alias("copies"), F.bool_or(query).alias("asked")), "classes")
-    keys = classes.select("class", "asked", F.size("items").alias("n"), F.explode("bands").alias("band"))
-    left = keys.where("asked").select(F.col("class").alias("a"), F.col("n").alias("n_a"), "band")
-    # the overlap alone bounds the error from below: lengths may differ by little
-    near = f"16 * abs(n_a - n) <= {32 * most_error} * greatest(n_a, n)"
-    pairs = left.join(keys.select(F.col("class").alias("b"), "n", "band"), "band").where(f"a <> b and {near}").select("a", "b").distinct()
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [align(np.array(x, np.int32).view(np.uint32), np.array(y, np.int32).view(np.uint32)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], names=["a", "b", "offset", "error"])
-
-    both = pairs.join(classes.select(F.col("class").alias("a"), F.col("items").alias("x")), "a").join(classes.select(F.col("class").alias("b"), F.col("items").alias("y")), "b")
-    judged = both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, offset long, error double").where(F.col("error") <= most_error)
+    classes = staged(rows.where(F.size("items") > 0).groupBy("class").agg(F.first("items").alias("items"), F.min("id").alias("least"), F.count("*").alias("copies"), F.bool_or(query).alias("asked")), "classes")
+    n_items = classes.where("asked").agg(F.sum(F.size("items"))).first()[0] or 0
+    blocks = -(-n_items // QUERY_ITEMS)
+    judged = None
+    for k in range(blocks):  # each block of queries goes to every task, so that no key is dealt and none is hot
+        asked_here = classes.where("asked").where(F.pmod(F.hash("class"), F.lit(blocks)) == k).select("class", "items").toArrow()
+        more = staged(classes.select("class", "items").mapInArrow(_against(asked_here, most_error), "a long, b long, offset long, error double"), "matches")
+        judged = more if judged is None else judged.union(more)
+    if judged is None:
+        judged = recordings.sparkSession.createDataFrame([], "a long, b long, offset long, error double")
     named = judged.join(classes.select(F.col("class").alias("b"), "least", "copies"), "b")
     best = named.groupBy("a").agg(F.sum("copies").alias("others"), F.min_by(F.struct("least", "offset", "error"), F.struct("error", "least", "b")).alias("best")).withColumnRenamed("a", "class")
     found = classes.where("asked").select("class", "copies").join(best, "class", "left")

@@ -147,6 +147,29 @@ def test_recordings_align():
     assert chroma.align(a, c)[1] > 0.2
 
 
+def test_matched_recordings_equal_brute_force(spark):
+    """Noisy copies and excerpts of 40 % against every offset of every pair, for every id that 50 divides."""
+    rng, rows = np.random.default_rng(4), []
+    time = np.arange(2000) / chroma.RATE
+    for song in range(4):
+        sound = np.concatenate([np.sin(2 * np.pi * 440 * 2 ** (n / 12) * time) for n in rng.integers(-12, 12, 8)])
+        for k, noise in enumerate((1, 4, 10, 20, 30)):
+            rows.append((50 * song + k, (64 + 30 * sound + rng.normal(0, 0.6 * noise, len(sound))).clip(0, 127).astype(np.uint8).tobytes().decode()))
+        begin = int(rng.integers(0, 9000))
+        rows.append((50 * song + 9, rows[-5][1][begin : begin + 6400]))
+    rows += [(i, rng.integers(0, 128, int(rng.integers(1400, 4000)), np.uint8).tobytes().decode()) for i in range(200, 260, 10)] + [(300, None), (None, "x" * 3000)]
+    items = {i: chroma.fingerprint(chroma.frames(np.frombuffer((b or "").encode(), np.uint8))) for i, b in rows}
+    got = {r.page_id: r for r in chroma.matched(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    hits, excerpts = 0, 0
+    for q in (0, 50, 100, 150, 200, 250, 300):
+        found = [(error, i, off) for i in items if i not in (q, None) and len(items[q]) and len(items[i]) for off, error in [chroma.align(items[q], items[i])] if error <= chroma.MOST_ERROR]
+        assert got[q].n_matches == len(found)
+        if found:
+            assert (got[q].best_error, got[q].best_id, got[q].best_offset) == (pytest.approx(min(found)[0]), *min(found)[1:])
+        hits, excerpts = hits + len(found), excerpts + sum(i == q + 9 for _, i, _ in found)
+    assert hits >= 12 and excerpts == 4
+
+
 @pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.9), (boosted, "quality", 0.97)])
 def test_held_out_accuracy(spark, module, label, least):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
