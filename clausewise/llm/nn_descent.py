@@ -1,8 +1,9 @@
 """Near-duplicate vectors by NN-descent, and their links at a cosine threshold.
 
 Equal vectors form one class. Neighbour lists start from sign-of-projection tables, whose rows are compared in windows
-of the sorted order; then neighbours of neighbours are joined until lists stop changing. Vectors whose lists hold
-linked neighbours are enlarged: their whole component is compared block by block, which counts every link in it.
+of the sorted order; then neighbours of neighbours are joined until lists stop changing. Full lists do not hide a link:
+each block of vectors also gives a spanning forest of its links, and large codes of the tables are compared whole across
+the components found so far. Vectors whose lists hold linked neighbours are enlarged: their whole component is compared block by block, which counts every link in it.
 The recall of links is audited against brute force for every vector whose id a step divides (recall()).
 
 Defined results: vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing, and so
@@ -57,7 +58,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _nearest(node: np.ndarray, unit: np.ndarray, floor: float, linked: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b, cosine): each one's k nearest at `floor` or above, and the first of those linked with it."""
+    """Pairs (a, b, cosine): each one's k nearest at `floor` or above, and a spanning forest of all links."""
     cosine = unit @ unit.T
     np.fill_diagonal(cosine, -2)
     cosine[node[:, None] == node[None, :]] = -2
@@ -69,10 +70,18 @@ def _nearest(node: np.ndarray, unit: np.ndarray, floor: float, linked: float, k:
     else:
         keep[:] = True
     keep &= cosine >= floor
-    link = cosine >= linked - _NEAR
-    some = np.flatnonzero(link.any(axis=1))
-    order = np.argsort(node, kind="stable")
-    keep[some, order[link[some][:, order].argmax(axis=1)]] = True
+    link = cosine >= linked + _NEAR
+    keep |= (cosine >= linked - _NEAR) & ~link  # double precision decides, so that no forest rests on these
+    if (link & ~keep & ~keep.T).any():
+        left = link.any(axis=1)
+        while left.any():
+            front = [int(left.argmax())]
+            left[front] = False
+            for x in front:
+                reached = np.flatnonzero(link[x] & left)
+                keep[x, reached] = True
+                left[reached] = False
+                front.extend(reached.tolist())
     a, b = np.nonzero(keep)
     return node[a], node[b], cosine[a, b]
 
@@ -83,8 +92,8 @@ def _emitted(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.float64))], names=["a", "b", "cosine"])
 
 
-def _first_lists(classes: DataFrame, count: int, size: int, linked: float, floor: float, k: int) -> DataFrame:
-    """(a, b, cosine) of neighbours in windows of WINDOW rows of each projection table's sorted order."""
+def _coded(classes: DataFrame, count: int, size: int, linked: float, units: bool) -> DataFrame:
+    """(table, code, node) of each vector in each projection table, and its unit in single precision if asked for."""
     bits = max(1, min(40, round(math.log2(max(2, count / (WINDOW / 2))))))
     same = (1 - math.acos(linked) / math.pi) ** bits
     tables = max(4, math.ceil(math.log(MISS) / math.log(1 - same)))
@@ -96,9 +105,15 @@ def _first_lists(classes: DataFrame, count: int, size: int, linked: float, floor
             if rows.num_rows:
                 unit = _matrix(rows.column(1)).astype(np.float32)
                 code = ((unit @ planes > 0).reshape(len(unit), tables, bits) * weight).sum(axis=2)
-                single = pa.array([u.tobytes() for u in unit], pa.binary())
+                single = [pa.array([u.tobytes() for u in unit], pa.binary())] if units else []
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t, np.int32)), pa.array(code[:, t]), rows.column(0), single], names=["table", "code", "node", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t, np.int32)), pa.array(code[:, t]), rows.column(0), *single], names=["table", "code", "node", "unit"][: 3 + units])
+
+    return classes.select("node", "unit").mapInArrow(codes, "table int, code long, node long" + ", unit binary" * units)
+
+
+def _first_lists(classes: DataFrame, count: int, size: int, linked: float, floor: float, k: int) -> DataFrame:
+    """(a, b, cosine) of neighbours in windows of WINDOW rows of each projection table's sorted order."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, node, unit = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, size), np.float32)
@@ -120,7 +135,7 @@ def _first_lists(classes: DataFrame, count: int, size: int, linked: float, floor
         return [_nearest(node[table == t], unit[table == t], floor, linked, k) for t in np.unique(table)]
 
     # the order ends with the node, so a code that many vectors share is dealt to several partitions
-    rows = classes.select("node", "unit").mapInArrow(codes, "table int, code long, node long, unit binary")
+    rows = _coded(classes, count, size, linked, True)
     return rows.repartitionByRange("table", "code", "node").sortWithinPartitions("table", "code", "node").mapInArrow(windows, "a long, b long, cosine double")
 
 
@@ -159,11 +174,43 @@ def _settled(pairs: DataFrame, classes: DataFrame, linked: float) -> DataFrame:
                 good = np.einsum("ij,ij->i", _matrix(rows.column(2)), _matrix(rows.column(3))) >= linked
                 yield rows.filter(pa.array(good)).select([0, 1])
 
-    near = pairs.where((F.col("a") < F.col("b")) & (F.col("cosine") >= linked - 2 * _NEAR)).select("a", "b").distinct()
+    near = pairs.where(F.col("cosine") >= linked - 2 * _NEAR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = classes.select(F.col("node").alias("a"), F.col("unit").alias("x")), classes.select(F.col("node").alias("b"), F.col("unit").alias("y"))
     return near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _across(coded: DataFrame, classes: DataFrame, member: DataFrame, linked: float) -> DataFrame:
+    """(a, b, cosine): a link of each two components that have one in a block of a projection table's code.
+
+    Codes of at most WINDOW / 2 vectors were compared whole by windows. The vectors of the others are dealt to blocks of
+    about BLOCK by hash, and each pair of blocks is one unit of work, without the pairs inside a component.
+    """
+    placed = coded.join(member, "node", "left").select("table", "code", "node", F.coalesce("component", "node").alias("component"))
+    sizes = placed.groupBy("table", "code").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where(f"n > {WINDOW // 2} and x <> y")
+    sizes = sizes.select("table", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, ["table", "code"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("table", "code", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "component")
+    rows = dealt.join(classes.select("node", "unit"), "node").select("key", "node", "component", "unit")
+
+    def compare(node: np.ndarray, component: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cosine = unit @ unit.T
+        x, y = np.nonzero(np.triu((cosine >= linked - _NEAR) & (component[:, None] != component[None]), 1))
+        c = cosine[x, y]
+        low, high = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
+        order = np.lexsort((-c, high, low))
+        low, high = low[order], high[order]
+        first = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])] if len(order) else np.zeros(0, bool)
+        order = order[first | (c[order] < linked + _NEAR)]
+        return node[x[order]], node[y[order]], c[order]
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, node, component, unit = *(table.column(i).to_numpy() for i in range(3)), _matrix(table.column(3))
+        cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        yield from _emitted([compare(node[x:y], component[x:y], unit[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if (component[x:y] != component[x]).any()])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 2 * BLOCK), "a long, b long, cosine double")
+
+
 def _enlarged(placed: DataFrame, linked: float) -> DataFrame:
     """(node, links): for each vector of a component (component, node, unit, copies), the rows linked with it there.
 
@@ -216,7 +263,9 @@ def near_vectors(vectors: DataFrame, linked: float = 0.9, neighbours: int = NEIG
             if mark and now[0] == mark[0] and abs((now[1] or 0) - (mark[1] or 0)) < 1e-3 * max(1, now[0]):
                 break
             mark = now
-        member = components(_settled(links, classes, linked))
+        settled = staged(_settled(links, classes, linked), "settled")
+        more = _across(_coded(classes, count, size, linked, False), classes, components(settled), linked)
+        member = components(settled.union(_settled(staged(more, "across"), classes, linked)))
     else:
         member = components(classes.select(F.col("node").alias("a"), F.col("node").alias("b")))
     placed = staged(classes.join(member, "node").select("component", "node", "unit", "copies", "least"), "placed")

@@ -138,6 +138,28 @@ def test_vectors_with_odd_rows_and_recall(spark):
     assert nn_descent.recall(vectors.where("vec_id is not null"), nn_descent.near_vectors(vectors.where("vec_id is not null")), step=1) >= 0.99
 
 
+def test_full_lists_do_not_hide_a_bridge(spark):
+    """Two groups of 200 vectors, each nearer to its own than to the bridge, that one pair of vectors links; eight times."""
+    rng, rows = np.random.default_rng(6), []
+    turned = lambda x, y, angle: np.cos(angle) * x + np.sin(angle) * y
+    for g in range(8):
+        axes = np.linalg.qr(rng.normal(size=(64, 64)))[0].T
+        near, far = turned(axes[0], axes[1], -0.2), turned(axes[0], axes[1], 0.2)
+        for side, (end, out) in enumerate(((near, -0.55), (far, 0.55))):
+            centre = turned(axes[0], axes[1], out)
+            group = [end, *(v / np.linalg.norm(v) for v in (centre + rng.normal(0, 0.01, 64) for _ in range(200)))]
+            rows += [(1000 * g + 500 * side + i, v.tolist()) for i, v in enumerate(group)]
+    unit = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    link = unit @ unit.T >= 0.9
+    for g in range(8):
+        left, right = ((ids // 500) == 2 * g), ((ids // 500) == 2 * g + 1)
+        assert link[left][:, right].sum() == 1
+    got = {r.vec_id: r for r in nn_descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i].component_id == i // 1000 * 1000 for i in got)
+    assert all(got[i].n_links == n - 1 for i, n in zip(ids.tolist(), link.sum(axis=1).tolist(), strict=True))
+
+
 def test_recordings_align():
     time = np.arange(2000) / chroma.RATE
     song = lambda seed: np.concatenate([np.sin(2 * np.pi * 440 * 2 ** (n / 12) * time) for n in np.random.default_rng(seed).integers(-12, 12, 20)])
