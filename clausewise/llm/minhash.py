@@ -29,6 +29,9 @@ PERMUTATIONS, BAND, BANDED = 190, 5, 190
 #: Bucket pairs whose signatures of 380 values agree in a smaller share are no candidates: at a similarity of 0.75 the
 #: share is 3.8 standard errors higher, so a pair is lost with a probability below 0.0001.
 SKETCH_LEAST = 0.665
+#: Bytes of each band's key kept behind the sketch's values: that a band seems shared and is not, in its values' low bytes
+#: and in its key's, has a probability of about 2**-16 times that of the low bytes alone.
+TAG = 2
 BLOCK = 512
 
 _rng = np.random.default_rng(20240501)
@@ -81,18 +84,19 @@ def signatures(docs: DataFrame) -> DataFrame:
             low, high = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
             full = np.flatnonzero(n)
             bands = np.zeros((len(n), 0), np.int64)
-            sketch = np.zeros((len(n), 2 * PERMUTATIONS), np.uint8)
+            sketch = np.zeros((len(n), 2 * PERMUTATIONS + TAG * (BANDED // BAND)), np.uint8)
             counts = np.where(n > 0, BANDED // BAND, 0)
             if len(full):
                 heads = np.r_[offsets[:-1][full], offsets[-1]]
                 low[full] = np.add.reduceat(mix(values + np.uint64(1)), heads[:-1])
                 high[full] = np.add.reduceat(mix(values ^ np.uint64(0x5DEECE66D)), heads[:-1])
                 signature = min_max(values, heads)
-                sketch[full] = signature.astype(np.uint8)
+                sketch[full, : 2 * PERMUTATIONS] = signature.astype(np.uint8)
                 key = np.zeros((len(full), BANDED // BAND), np.uint64)
                 for k in range(BAND):
                     key = mix(key * np.uint64(31) + signature[:, k:BANDED:BAND].astype(np.uint64) + np.uint64(k))
                 bands = mix(key + np.arange(key.shape[1], dtype=np.uint64)).view(np.int64)
+                sketch[full, 2 * PERMUTATIONS :] = (bands & 0xFFFF).astype("<u2").view(np.uint8)
             ends = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1))), pa.array([x.tobytes() for x in sketch], pa.binary())],
@@ -108,7 +112,7 @@ def _alike(placed: DataFrame, best: int | None) -> DataFrame:
     placed: (t, band, node, n, component, sketch), t being the place of the band in the signature. With `best`, only so many of the most alike for each class that is not
     in its block's main component. Buckets are dealt to blocks of about BLOCK classes by hash, and each pair of blocks
     is one unit of work; pairs that fail the sketch never become rows, and a pair with several bands in common becomes
-    one in the first of them (as the sketches, which hold a byte of each value, tell).
+    one in the first of them (as the sketches, which hold a byte of each value and TAG bytes of each band's key, tell).
     """
     size = placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "blocks")
     dealt = placed.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -124,8 +128,9 @@ def _alike(placed: DataFrame, best: int | None) -> DataFrame:
         for i in range(0, len(minor), 16):
             m = minor[i : i + 16]
             equal = sketch[m][:, None, :] == sketch[None]
-            share = equal.mean(axis=2)
+            share = equal[:, :, : 2 * PERMUTATIONS].mean(axis=2)
             shared = equal[:, :, :BANDED].reshape(len(m), -1, BANDED // BAND, BAND).all(axis=3)
+            shared &= equal[:, :, 2 * PERMUTATIONS :].reshape(len(m), -1, BANDED // BAND, TAG).all(axis=3)
             share[shared.argmax(axis=2) != t] = 0
             small, large = np.minimum(n[m][:, None], n[None]), np.maximum(n[m][:, None], n[None])
             share[(code[m][:, None] == code[None]) | (100 * small < 75 * large) | (across & (own[m][:, None] == own[None]))] = 0

@@ -126,6 +126,26 @@ def test_near_duplicates_of_odd_rows(docs):
     assert got[None, 1].component_id is None and got[None, 1].kept
 
 
+def test_pairs_whose_earlier_band_agrees_in_low_bytes_only(spark):
+    """Two classes that share the bucket of band 1; band 0 agrees in a byte of each value, but not in its key."""
+    rng = np.random.default_rng(2)
+    values, tags = rng.integers(0, 256, 2 * minhash.PERMUTATIONS, np.uint8), rng.integers(0, 256, 2 * minhash.BANDED // minhash.BAND, np.uint8)
+    other, changed = values.copy(), tags.copy()
+    other[10 : minhash.BANDED : 5] ^= 1
+    changed[:2] ^= 1
+    changed[4:] ^= 1
+    rows = [(1, 77, node, 100, node, bytearray(np.r_[v, t].tobytes())) for node, v, t in ((5, values, tags), (9, other, changed))]
+    placed = spark.createDataFrame(rows, "t int, band long, node long, n long, component long, sketch binary")
+    assert [tuple(r) for r in minhash._alike(placed, None).collect()] == [(5, 9)]
+
+
+def test_signature_tags_name_the_bands(spark):
+    docs = spark.createDataFrame([(1, 1, "a b c d e f g h"), (2, 2, "")], "doc_id long, uid long, text string")
+    for r in minhash.signatures(docs).collect():
+        tags = np.frombuffer(bytes(r.sketch), np.uint8)[2 * minhash.PERMUTATIONS :].view("<u2")
+        assert tags.tolist() == ([b & 0xFFFF for b in r.bands] if r.n else [0] * len(tags))
+
+
 def test_vectors_with_odd_rows_and_recall(spark):
     random.seed(1)
     rows = [(i, [random.gauss(0, 1) for _ in range(16)]) for i in range(300)]
