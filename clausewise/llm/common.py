@@ -20,15 +20,17 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local one, but only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="clausewise-")
-        spark.sparkContext.setCheckpointDir(found)
+    if found:
         return found
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = tempfile.mkdtemp(prefix="clausewise-")
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -41,10 +43,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the staged tables of this process; results that still read them must have been written before."""
-    while _STAGED:
-        spark, path = _STAGED.pop()
+def marked() -> int:
+    """How many staged tables there are: release() may delete those before a mark."""
+    return len(_STAGED)
+
+
+def release(begin: int = 0, end: int | None = None) -> None:
+    """Delete the staged tables between two marks (all of them); results that still read them must have been written before."""
+    gone, _STAGED[begin:end] = _STAGED[begin:end], []
+    for spark, path in gone:
         try:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -100,29 +107,61 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     trim()
 
 
-def by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], least: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Call work on runs of rows sorted by their first column that end where that column changes."""
+def by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], least: int = 1 << 16, limit: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Call work on runs of rows sorted by their first column that end where that column changes.
+
+    A run has about `least` rows or `limit` bytes, or one key's rows where those are more; each row is joined once.
+    """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows >= least:
-            table = pa.Table.from_batches(held)
-            key = table.column(0).to_numpy()
+        size += batch.nbytes
+        if rows >= least or size >= limit:
+            key = batch.column(0)
+            if held[0].column(0)[0] == key[len(key) - 1]:
+                continue  # one key so far: nothing to cut
+            key = key.to_numpy()
             cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield from work(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-                rows -= cut
+            # where the last key begins in the batches before, they are cut instead
+            at = len(held) - 1
+            while cut == 0:
+                at -= 1
+                before = held[at].column(0).to_numpy()
+                cut = int(np.searchsorted(before, key[-1], "left"))
+                if cut == len(before):
+                    at, cut = at + 1, 0
+                    break
+            yield from work(pa.Table.from_batches([*held[:at], held[at].slice(0, cut)]))
+            held = [held[at].slice(cut), *held[at + 1 :]]
+            rows, size = sum(x.num_rows for x in held), sum(x.nbytes for x in held)
     if held:
         yield from work(pa.Table.from_batches(held))
     del held
     trim()
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(df: DataFrame, name: str) -> F.Column:
+    """A column by its exact name, dots and blanks included."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def row_key(df: DataFrame, seed: int) -> F.Column:
+    """A 64-bit hash of all columns of a row; two seeds make a key of 128 bits."""
+    return F.xxhash64(F.lit(seed), *(F.to_json(F.struct(column(df, f.name))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else column(df, f.name) for f in df.schema.fields))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift) over an array."""
     x = x ^ (x >> np.uint64(32))
@@ -167,54 +206,63 @@ class Prefixes:
         return mix((self.sums[b] - self.sums[a]) * self.down[a] + length * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(node, component): the smallest node that is reachable, for every node on an edge.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest (u, v), u > v, of the pairs of a partition, in runs of bounded size."""
+    parent: dict[int, int] = {}
 
-    Each partition first keeps a spanning forest of its own edges; then large-star and small-star steps alternate
-    until nothing changes. Groups only ever meet in min() aggregates and in joins that Spark can split.
-    """
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def flush() -> pa.RecordBatch:
+        nodes = [n for n in parent if find(n) != n]
+        out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], names=["u", "v"])
+        parent.clear()
+        return out
 
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def flush() -> pa.RecordBatch:
-            nodes = [n for n in parent if find(n) != n]
-            out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], names=["u", "v"])
-            parent.clear()
-            return out
-
-        for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if x != y:
-                    x, y = find(x), find(y)
-                    parent[max(x, y)] = min(x, y)
-            if len(parent) > 500_000:
-                yield flush()
-        if parent:
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if x != y:
+                x, y = find(x), find(y)
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > 500_000:
             yield flush()
+    if parent:
+        yield flush()
+
 
+def _small_star(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v, moved), sorted by u and v: every smaller neighbour of u, and u itself, is tied to the least of them."""
+    u, v, moved = (table.column(i).to_numpy() for i in range(3))
+    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+    least = np.repeat(v[first], np.diff(np.r_[first, len(u)]))
+    more = v != least
+    pairs = np.unique(np.stack([v[more], least[more]]), axis=1) if more.any() else np.zeros((2, 0), np.int64)
+    changed = np.logical_or.reduceat(moved | more, first)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.r_[u[first], pairs[0]]), pa.array(np.r_[v[first], pairs[1]]), pa.array(np.r_[changed, np.ones(pairs.shape[1], bool)])], names=["u", "v", "moved"]
+    )
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node that is reachable, for every node on an edge.
+
+    Each partition first keeps a spanning forest of its own edges; then large-star steps (a join on the greater star's
+    centre, which Spark can split) and small-star steps alternate until no edge moves. A node meets in one task only its
+    smaller neighbours, of which a slice of a partition gives one.
+    """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
-    tree = staged(pairs.mapInArrow(forest, "u long, v long").distinct(), "forest")
-    seen = None
+    tree = staged(pairs.mapInArrow(_forest, "u long, v long"), "forest")
     for _ in range(rounds):
-        both = tree.union(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        centre = tree.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = tree.select("u", "v").join(centre, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        small = large.repartition("u").sortWithinPartitions("u", "v").mapInArrow(lambda batches: by_key(batches, _small_star), "u long, v long, moved boolean")
         tree = staged(small, "stars")
-        mark = tree.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if tuple(mark) == seen:
+        if not tree.agg(F.max("moved")).first()[0]:
             break
-        seen = tuple(mark)
     else:
         raise RuntimeError("components did not settle")
     # settled: every node other than a root has one edge, to its root
-    return tree.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tree.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return tree.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tree.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,13 +2,16 @@
 
 Under each permutation both the least and the greatest value are kept, so that half the hash evaluations give a
 signature of the usual length. Documents with equal shingle sets form one class; only classes meet. Bands of the
-signature name buckets; in every round each class that is not settled is compared with the head of one component of
-its buckets, components are joined, and the pairs that remain across components are compared exactly.
+signature name buckets. First each class is compared with the head that most of its buckets name, which joins large
+groups by as many pairs as they have classes. In buckets that still hold several components, all classes outside the
+bucket's main component are then compared with all others, block by block: by sketches first, then on full sets in the
+task itself, which gives a spanning forest of the links found, so that no stage gives rows for pairs.
 
 Defined results: a document without words (null and empty texts too) has no shingles and links with nothing; fewer
 words than a shingle make one shingle of them all; rows are kept one for one; rows that repeat an id share its
 component, and `kept` holds for each of them; a null id takes part in links, is never a component's name, and is kept only if
-its row is linked with nothing (then component_id is null); other columns are ignored; very long texts are read whole.
+its row is linked with nothing (then component_id is null); other columns are ignored, whatever their names; very long
+texts are read whole; no rows give no rows. one_of_each() decides by row: of equal rows that have words one stays.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import by_key, components, mix, raw, slices, staged, strings
+from clausewise.llm.common import by_key, column, components, fresh, mix, raw, row_key, slices, staged, strings
 from clausewise.llm.words import word_hashes
 
 WORDS = 5
@@ -32,7 +35,11 @@ SKETCH_LEAST = 0.665
 #: Bytes of each band's key kept behind the sketch's values: that a band seems shared and is not, in its values' low bytes
 #: and in its key's, has a probability of about 2**-16 times that of the low bytes alone.
 TAG = 2
-BLOCK = 512
+#: Classes and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+PER_CENT = 75
+#: What has no word, as a pattern.
+BLANK = r"^[\x20\x09-\x0D]*$"
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLY = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -75,7 +82,8 @@ def min_max(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, n, low, high, bands, sketch) of each row (doc_id, uid, text); low and high are a 128-bit digest of the set, 0 if empty."""
+    """docs (key columns, then text) without text, with n, low, high, bands, sketch; low and high are a 128-bit digest of the set, 0 if empty."""
+    keys = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in slices(batches):
@@ -99,64 +107,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketch[full, 2 * PERMUTATIONS :] = (bands & 0xFFFF).astype("<u2").view(np.uint8)
             ends = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1))), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                names=["doc_id", "uid", "n", "low", "high", "bands", "sketch"],
+                [*(rows.column(i) for i in range(len(keys))), pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1))), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                names=[*keys, "n", "low", "high", "bands", "sketch"],
             )
 
-    return docs.select("doc_id", "uid", "text").mapInArrow(run, "doc_id long, uid long, n long, low long, high long, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in docs.dtypes[:-1]) + ", n long, low long, high long, bands array<long>, sketch binary")
 
 
-def _alike(placed: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a, b), a < b, across components of a bucket whose sketches agree in enough places.
-
-    placed: (t, band, node, n, component, sketch), t being the place of the band in the signature. With `best`, only so many of the most alike for each class that is not
-    in its block's main component. Buckets are dealt to blocks of about BLOCK classes by hash, and each pair of blocks
-    is one unit of work; pairs that fail the sketch never become rows, and a pair with several bands in common becomes
-    one in the first of them (as the sketches, which hold a byte of each value and TAG bytes of each band's key, tell).
-    """
-    size = placed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "blocks")
-    dealt = placed.join(size, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "own", "node", "n", "component", "sketch", "t")
-
-    def compare(t: int, own: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
-        _, code, count = np.unique(component, return_inverse=True, return_counts=True)
-        if len(count) < 2:
-            return []
-        minor = np.flatnonzero(code != count.argmax())
-        across = len(np.unique(own)) > 1
-        found = []
-        for i in range(0, len(minor), 16):
-            m = minor[i : i + 16]
-            equal = sketch[m][:, None, :] == sketch[None]
-            share = equal[:, :, : 2 * PERMUTATIONS].mean(axis=2)
-            shared = equal[:, :, :BANDED].reshape(len(m), -1, BANDED // BAND, BAND).all(axis=3)
-            shared &= equal[:, :, 2 * PERMUTATIONS :].reshape(len(m), -1, BANDED // BAND, TAG).all(axis=3)
-            share[shared.argmax(axis=2) != t] = 0
-            small, large = np.minimum(n[m][:, None], n[None]), np.maximum(n[m][:, None], n[None])
-            share[(code[m][:, None] == code[None]) | (100 * small < 75 * large) | (across & (own[m][:, None] == own[None]))] = 0
-            if best and share.shape[1] > best:
-                low = np.partition(share, -best, axis=1)[:, -best][:, None]
-                share[share < low] = 0
-            x, y = np.nonzero(share >= SKETCH_LEAST)
-            if len(x):
-                found.append(np.stack([np.minimum(node[m[x]], node[y]), np.maximum(node[m[x]], node[y])]))
-        return found
-
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, own, node, n, component = (table.column(i).to_numpy() for i in range(5))
-        values = table.column(5).to_pylist()
-        sketch = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
-        t = table.column(6).to_numpy()
-        cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-        found = [f for x, y in zip(cuts[:-1], cuts[1:], strict=True) for f in compare(int(t[x]), own[x:y], node[x:y], n[x:y], component[x:y], sketch[x:y])]
-        if found:
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 2 * BLOCK), "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, per_cent: int = 75) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= per_cent * union of the full sets; texts: (node, text), node unique.
 
     Both texts come by joins on their node, which Spark can split where one node has many pairs.
@@ -180,42 +138,157 @@ def confirmed(pairs: DataFrame, texts: DataFrame, per_cent: int = 75) -> DataFra
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): signatures of each row with its class `node`, and confirmed edges that span each component.
+def _units(placed: DataFrame) -> DataFrame:
+    """(key, t, asks, minor, node, n, component): the buckets of several components, dealt to units of work.
 
-    A class's node is a hash of its set's digest. Every pair of classes that shares a bucket is compared on full sets,
-    unless both are in one component by then or their sketches differ too far.
+    placed: (band, t, node, n, component). The classes outside a bucket's main component ask; they and all classes of
+    the bucket are dealt to blocks by hash, and each block that asks meets each block of all in one unit.
     """
-    signed = staged(signatures(docs).withColumn("node", F.xxhash64("low", "high")), "signatures")
-    classes = staged(signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    # one text for each class that shares a bucket
+    held = placed.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    order = F.struct("c", "component")
+    held = held.groupBy("band").agg(F.count("*").alias("several"), F.max(order).alias("top"), F.max_by("s", order).alias("top_s"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("several > 1")
+    held = held.select("band", F.col("top.component").alias("main"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top_s")).alias("ask"), blocks(F.col("c"), F.col("s")).alias("all"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    dealt = placed.join(held, "band").withColumn("minor", F.col("component") != F.col("main"))
+    asked = F.transform(upto("ask"), lambda i: F.struct(i.alias("i"), own("all", 1).alias("j"), F.lit(False).alias("asks")))
+    asking = F.transform(upto("all"), lambda j: F.struct(own("ask", 2).alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    dealt = dealt.withColumn("unit", F.explode(F.when(F.col("minor"), F.concat(asked, asking)).otherwise(asked)))
+    return dealt.select(F.xxhash64("band", "unit.i", "unit.j").alias("key"), "t", F.col("unit.asks").alias("asks"), "minor", "node", "n", "component")
+
+
+_UNIT = "key long, t int, asks boolean, minor boolean, node long, n long, component long, sketch binary"
+
+
+def _each(table: pa.Table) -> Iterator[tuple[int, int]]:
+    """The ranges of rows of one unit (key and place of the band)."""
+    key, t = table.column(0).to_numpy(), table.column(1).to_numpy()
+    cuts = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t[1:] != t[:-1])]), len(key)]
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that ask, rows asked, whether each pair's sketches agree in enough places) of one unit.
+
+    A pair with several bands in common counts in the first of them only, as the sketches tell, which hold a byte of
+    each value and TAG bytes of each band's key.
+    """
+    t = int(table.column(1)[0].as_py())
+    asks, minor, node, n, component = (table.column(i).to_numpy(zero_copy_only=False) if i < 4 else table.column(i).to_numpy() for i in (2, 3, 4, 5, 6))
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(x) or not len(y):
+        return x, y, np.zeros((len(x), len(y)), bool)
+    held = table.column(7).to_pylist()
+    sketch = np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1)
+    good = component[x][:, None] != component[y][None]
+    good &= ~(minor[y][None] & (node[x][:, None] > node[y][None]))  # two that ask meet once
+    good &= 100 * np.minimum(n[x][:, None], n[y][None]) >= PER_CENT * np.maximum(n[x][:, None], n[y][None])
+    for i in range(0, len(x), 16):
+        own = np.flatnonzero(good[i : i + 16].any(axis=0))
+        if len(own):
+            equal = sketch[x[i : i + 16]][:, None, :] == sketch[y[own]][None]
+            bands = equal[:, :, :BANDED].reshape(*equal.shape[:2], BANDED // BAND, BAND).all(axis=3)
+            bands &= equal[:, :, 2 * PERMUTATIONS :].reshape(*bands.shape, TAG).all(axis=3)
+            good[i : i + 16, own] &= (equal[:, :, : 2 * PERMUTATIONS].sum(axis=2) >= SKETCH_LEAST * 2 * PERMUTATIONS) & (bands.argmax(axis=2) == t) & bands[:, :, t]
+    return x, y, good
+
+
+def _involved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of units that are a candidate's."""
+    table = table.combine_chunks()
+    keep = np.zeros(table.num_rows, bool)
+    for a, b in _each(table):
+        x, y, good = _candidates(table.slice(a, b - a).combine_chunks())
+        keep[a + x[good.any(axis=1)]] = True
+        keep[a + y[good.any(axis=0)]] = True
+    yield from table.filter(pa.array(keep)).to_batches()
+
+
+def _linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(a, b): a spanning forest of the components that are linked within each unit, candidates compared on full sets."""
+    table = table.combine_chunks()
+    found: list[tuple[int, int]] = []
+    for a, b in _each(table):
+        unit = table.slice(a, b - a).combine_chunks()
+        x, y, good = _candidates(unit)
+        x, good = x[good.any(axis=1)], good[good.any(axis=1)]
+        if not len(x):
+            continue
+        names, root = np.unique(unit.column(6).to_numpy(), return_inverse=True)
+        values, offsets = shingle_sets(strings(unit.column(8)))
+        _, code = np.unique(values, return_inverse=True)
+        size = np.diff(offsets)
+        mark = np.zeros(int(code.max(initial=0)) + 1, bool)
+        for i, row in enumerate(x):
+            ask = y[good[i] & (root[y] != root[row])]
+            if not len(ask):
+                continue
+            own = code[offsets[row] : offsets[row + 1]]
+            mark[own] = True
+            ends = np.cumsum(size[ask])
+            take = np.arange(ends[-1]) + np.repeat(offsets[ask] - np.r_[0, ends[:-1]], size[ask])
+            both = np.add.reduceat(mark[code[take]].astype(np.int64), np.r_[0, ends[:-1]])
+            mark[own] = False
+            for other in np.unique(root[ask[100 * both >= PER_CENT * (size[ask] + size[row] - both)]]).tolist():
+                mine = int(root[row])
+                if other != mine:
+                    found.append((int(names[mine]), int(names[other])))
+                    root[root == max(mine, other)] = min(mine, other)
+    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """docs (key columns, then text) without text, with n and `c`, a name of the row's component (null without words).
+
+    Every pair of classes that shares a bucket is compared on full sets, unless both are in one component by then, or
+    their sketches or sizes differ too far. A class is named by a row number, so no two classes are taken for one.
+    """
+    keyed = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
+    signed = staged(signatures(keyed.select(*docs.columns[:-1], "digest", "text")).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    classes = staged(signed.where("n > 0").groupBy("low", "high").agg(F.min("row").alias("node"), F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     entries = classes.select("node", "n", F.posexplode("bands").alias("t", "band"))
-    shared = entries.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1").select("band", "head")
+    shared = entries.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("head")).where("size > 1").select("band", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
     entries = staged(entries.join(shared, "band"), "buckets")
-    sketches = classes.select("node", "sketch")
-    chosen = signed.join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("uid").alias("uid"))
-    texts = staged(docs.join(chosen, "uid").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    # round 1: each class against the head that most of its buckets name
-    most = entries.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
-    edges = staged(confirmed(most.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")), texts), "links")
-    tried = most.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
-    # later rounds: the most alike across components in each bucket, at last all pairs that remain across components
-    for best in (2, 2, None):
-        placed = entries.join(components(edges), "node", "left").select("t", "band", "node", "n", F.coalesce("component", "node").alias("component"))
-        pairs = staged(_alike(placed.join(sketches, "node"), best).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        edges = staged(edges.union(confirmed(pairs, texts)), "links")
-    return signed, edges
+    # one text for each class that shares a bucket
+    chosen = classes.join(entries.select("node").distinct(), "node", "left_semi").select("digest", "node")
+    texts = staged(keyed.select("digest", "text").join(chosen, "digest").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # each class against the head that most of its buckets name
+    alike = f"node <> head and 100 * least(n, head_n) >= {PER_CENT} * greatest(n, head_n)"
+    most = entries.where(alike).groupBy("node", "head").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
+    first = components(confirmed(most.select(F.col("head").alias("a"), F.col("node").alias("b")), texts))
+    # all others across the components of each bucket
+    placed = entries.join(first, "node", "left").select("band", "t", "node", "n", F.coalesce("component", "node").alias("component"))
+    rows = _units(placed).join(classes.select("node", "sketch"), "node").select(*(c.split(" ")[0] for c in _UNIT.split(", ")))
+    dealt = lambda df, work: df.repartition("key").sortWithinPartitions("key", "t").mapInArrow(lambda batches: by_key(batches, work, 2 * BLOCK, 1 << 24), _UNIT if work is _involved else "a long, b long")
+    met = staged(dealt(rows, _involved), "units")
+    second = components(dealt(met.join(texts, "node").select(*rows.columns, "text"), _linked))
+    named = signed.where("n > 0").join(classes.select("low", "high", "node"), ["low", "high"]).select(*docs.columns[:-1], "n", "node").join(first, "node", "left")
+    named = named.withColumn("c", F.coalesce("component", "node")).drop("component", "node").join(second.select(F.col("node").alias("c"), F.col("component").alias("joined")), "c", "left")
+    named = named.select(*docs.columns[:-1], "n", F.coalesce("joined", "c").alias("c"))
+    return named.union(signed.where("n = 0").select(*docs.columns[:-1], "n", F.lit(None).cast("long").alias("c")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row."""
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("uid"), docs[text_col].alias("text"))
-    signed, edges = links(docs)
-    member = components(edges)
-    placed = signed.join(member, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c"))
-    placed = staged(placed, "placed")
+    placed = staged(grouped(docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))), "placed")
     smallest = placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").select("c", "least")
     out = placed.join(smallest, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull())
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of which one of each component stays: that of the least id (nulls last).
+
+    Rows are told apart by a key of 128 bits over all their columns; of rows that are equal in all columns and have
+    words one stays, also where nothing else is linked with them. Rows without words all stay.
+    """
+    text = column(docs, text_col)
+    one, two = fresh("row_low", docs), fresh("row_high", docs)
+    keyed = docs.withColumns({one: row_key(docs, 1), two: row_key(docs, 2)})
+    wordless = F.coalesce(text.rlike(BLANK), F.lit(True))
+    placed = grouped(docs.select(column(docs, id_col).cast("long").alias("doc_id"), row_key(docs, 1).alias("k1"), row_key(docs, 2).alias("k2"), text.alias("text")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
+    winners = placed.where("c is not null").groupBy("c").agg(F.min(order).alias("least")).select(F.col("least.k1").alias(one), F.col("least.k2").alias(two))
+    return keyed.where(~wordless).dropDuplicates([one, two]).join(winners, [one, two], "left_semi").select(*(f"`{c}`" for c in docs.columns)).union(docs.where(wordless))

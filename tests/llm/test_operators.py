@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent.parent.parent))
@@ -126,7 +127,7 @@ def test_near_duplicates_of_odd_rows(docs):
     assert got[None, 1].component_id is None and got[None, 1].kept
 
 
-def test_pairs_whose_earlier_band_agrees_in_low_bytes_only(spark):
+def test_candidates_count_in_the_first_shared_band_only():
     """Two classes that share the bucket of band 1; band 0 agrees in a byte of each value, but not in its key."""
     rng = np.random.default_rng(2)
     values, tags = rng.integers(0, 256, 2 * minhash.PERMUTATIONS, np.uint8), rng.integers(0, 256, 2 * minhash.BANDED // minhash.BAND, np.uint8)
@@ -134,13 +135,78 @@ def test_pairs_whose_earlier_band_agrees_in_low_bytes_only(spark):
     other[10 : minhash.BANDED : 5] ^= 1
     changed[:2] ^= 1
     changed[4:] ^= 1
-    rows = [(1, 77, node, 100, node, bytearray(np.r_[v, t].tobytes())) for node, v, t in ((5, values, tags), (9, other, changed))]
-    placed = spark.createDataFrame(rows, "t int, band long, node long, n long, component long, sketch binary")
-    assert [tuple(r) for r in minhash._alike(placed, None).collect()] == [(5, 9)]
+    names = "key t asks minor node n component sketch".split()
+    for t, expected in ((1, True), (2, False)):
+        rows = [(77, t, True, True, 5, 100, 5, np.r_[values, tags].tobytes()), (77, t, False, False, 9, 100, 9, np.r_[other, changed].tobytes())]
+        table = pa.table({n: pa.array([r[i] for r in rows]) for i, n in enumerate(names)})
+        assert minhash._candidates(table)[2].tolist() == [[expected]]
+
+
+def _near_duplicates_by_brute_force(rows):
+    """(doc_id, shingles, component_id) of each row, from all pairs of full sets."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    return [(rows[i][0], len(sets[i]), least[group[i]]) for i in range(len(rows))], group
+
+
+def _near_rows():
+    """Groups whose pairs lie around the threshold, a chain, exact copies, repeated rows, null ids, odd texts."""
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefg") for _ in range(4))
+    rows = []
+    for g in range(4):
+        base = [word() for _ in range(120)]
+        for k in range(60):
+            own = list(base)
+            for _ in range(random.choice([0, 1, 2, 3, 4, 5, 8])):
+                own[random.randrange(120)] = word()
+            rows.append((1000 * g + k, " ".join(own)))
+        chain = list(base)
+        for k in range(20):
+            chain[6 * k : 6 * k + 3] = [word(), word(), word()]
+            rows.append((1000 * g + 500 + k, " ".join(chain)))
+    rows += [(7000 + i, rows[5][1]) for i in range(10)] + [rows[0], rows[0], (1, "Ab c"), (1, "aB  C"), (None, "ab c"), (None, "so alone"), (8000, ""), (8001, None), (8000, ""), (8002, " \n\t"), (8003, "é")]
+    return rows
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rows = _near_rows()
+    expected, _ = _near_duplicates_by_brute_force(rows)
+    docs = spark.createDataFrame([(*r, i % 3) for i, r in enumerate(rows)], "doc_id long, text string, node int").withColumnRenamed("node", "n_shingles").repartition(7)
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()]
+    order = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(got, key=order) == sorted(((*r, r[0] == r[2]) for r in expected), key=order)
+
+
+def test_blocks_of_a_hot_bucket_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rows = _near_rows()
+    expected, _ = _near_duplicates_by_brute_force(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=order) == sorted(expected, key=order)
+
+
+def test_one_of_each_decides_by_row(spark):
+    """Rows (1, A) (1, A) (2, A) (2, B): one A and the B stay; rows without words all stay; extra columns may clash."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "x", 1), (1, a, "x", 1), (2, a, "x", 1), (2, b, "x", 1), (None, b, "y", 2), (3, "", "x", 1), (3, "", "x", 1), (4, None, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_low string, c int")
+    got = sorted(((r.doc_id, r.text) for r in minhash.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, ""), (3, ""), (4, None)], key=str)
+    assert minhash.one_of_each(docs).columns == docs.columns
+    assert minhash.one_of_each(docs.limit(0)).count() == 0
 
 
 def test_signature_tags_name_the_bands(spark):
-    docs = spark.createDataFrame([(1, 1, "a b c d e f g h"), (2, 2, "")], "doc_id long, uid long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "")], "doc_id long, text string")
     for r in minhash.signatures(docs).collect():
         tags = np.frombuffer(bytes(r.sketch), np.uint8)[2 * minhash.PERMUTATIONS :].view("<u2")
         assert tags.tolist() == ([b & 0xFFFF for b in r.bands] if r.n else [0] * len(tags))
