@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.llm import minhash, packing, pii, suffix_dedup, toxicity
-from clausewise.llm.common import read, staged
+from clausewise.llm.common import marked, read, release, staged
 from clausewise.llm.queries import tokenizer
 
 
@@ -21,9 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least id; rows that link with nothing all stay."""
-    decided = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(decided, docs.doc_id.eqNullSafe(decided.id), "left_semi")
+    """One document of each group of near-duplicates, that of the least id (nulls last); rows that link with nothing stay.
+
+    It decides by row: of rows that are equal in all columns one stays, a null id wins only where its group has no other,
+    and rows without words (null and empty texts too) all stay.
+    """
+    return minhash.one_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written to the shared folder before the next reads it."""
+    """All stages over documents, each one's result written to the shared folder before the next reads it.
+
+    What a stage has staged for itself is deleted once its result is written.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        begin = marked()
+        made = stage(spark, docs, sf_dir)
+        end = marked()
+        docs = staged(made, name)
+        release(begin, end)
     return STAGES[-1][1](spark, docs, sf_dir)
