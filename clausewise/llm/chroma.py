@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import raw, slices, staged, trim
+from clausewise.llm.common import SLICE_BYTES, raw, staged, trim
 
 RATE, FRAME, HOP = 8000, 512, 64
 FILTER_FRAMES = 16
@@ -49,35 +49,31 @@ def _pitch_classes(rate: int) -> np.ndarray:
     return out
 
 
-def frames(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """Pitch-class energies of each frame, scaled to unit length."""
-    if len(samples) < FRAME:
-        return np.zeros((0, 12), np.float32)
-    view = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME)[::HOP]
-    to_class, shape = _pitch_classes(rate), np.hanning(FRAME).astype(np.float32)
-    out = []
-    for i in range(0, len(view), 2048):
-        part = view[i : i + 2048]
-        spectrum = np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * shape, axis=1)) ** 2
-        out.append(spectrum.astype(np.float32) @ to_class)
-    energy = np.concatenate(out)
-    norm = np.sqrt((energy * energy).sum(axis=1, keepdims=True))
-    return np.where(norm > 1e-2, energy / np.maximum(norm, 1e-9), 0).astype(np.float32)
-
-
-def fingerprint(chroma: np.ndarray) -> np.ndarray:
-    """The packed integer at each frame from which FILTER_FRAMES frames remain."""
-    n = len(chroma) - FILTER_FRAMES + 1
-    if n <= 0:
+def frames(samples: np.ndarray, starts: np.ndarray | None = None, rate: int = RATE) -> np.ndarray:
+    """Pitch-class energies of the frames at `starts` (all of one recording), scaled to unit length."""
+    starts = np.arange(0, max(0, len(samples) - FRAME + 1), HOP) if starts is None else starts
+    out = np.zeros((len(starts), 12), np.float32)
+    to_class, shape, place = _pitch_classes(rate), np.hanning(FRAME).astype(np.float32), np.arange(FRAME)
+    for i in range(0, len(starts), 2048):
+        part = samples[starts[i : i + 2048, None] + place].astype(np.float32)
+        spectrum = np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * shape, axis=1)
+        out[i : i + 2048] = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ to_class
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.where(norm > 1e-2, out / np.maximum(norm, 1e-9), 0).astype(np.float32)
+
+
+def fingerprint(chroma: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The packed integers at frames `at` (all), from each of which FILTER_FRAMES frames of its recording remain."""
+    at = np.arange(max(0, len(chroma) - FILTER_FRAMES + 1)) if at is None else at
+    if not len(at):
         return np.zeros(0, np.uint32)
     image = np.zeros((len(chroma) + 1, 13))
-    image[1:, 1:] = chroma.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+    image[1:, 1:] = chroma.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
 
     def area(t: int, y: int, w: int, h: int) -> np.ndarray:
         return image[at + t + w, y + h] - image[at + t, y + h] - image[at + t + w, y] + image[at + t, y]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros(len(at), np.uint32)
     for shape, y, h, w in FILTERS:
         if shape == 0:  # everything against its share of all pitch classes
             a, whole = area(0, y, w, h), area(0, 0, w, 12)
@@ -95,10 +91,20 @@ def fingerprint(chroma: np.ndarray) -> np.ndarray:
         else:  # middle third of the time against the rest
             a = area(w // 3, y, w - 2 * (w // 3), h)
             b = area(0, y, w, h) - a
-        out = out << np.uint32(2) | GRAY[np.searchsorted(LEVELS, np.round(np.log1p(a) - np.log1p(b), 9))]
+        out = out << np.uint32(2) | GRAY[np.searchsorted(LEVELS, np.round(np.log1p(np.maximum(a, 0)) - np.log1p(np.maximum(b, 0)), 7))]
     return out
 
 
+def fingerprinted(samples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frames of each recording, integers of all recordings end to end, their offsets), all recordings at once."""
+    size = np.diff(offsets)
+    n = np.where(size >= FRAME, (size - FRAME) // HOP + 1, 0)
+    first = np.r_[0, np.cumsum(n)]
+    within = np.arange(first[-1]) - np.repeat(first[:-1], n)
+    chroma = frames(samples, np.repeat(offsets[:-1], n) + HOP * within)
+    return n, fingerprint(chroma, np.flatnonzero(within + FILTER_FRAMES <= np.repeat(n, n))), np.r_[0, np.cumsum(np.maximum(n - FILTER_FRAMES + 1, 0))]
+
+
 def needed(n_a: np.ndarray | int, n_b: np.ndarray | int) -> np.ndarray:
     """Items that an overlap should have: half of the shorter recording, and LEAST or else the whole longer one."""
     return np.maximum((np.minimum(n_a, n_b) + 1) // 2, np.minimum(np.maximum(n_a, n_b), LEAST))
@@ -134,6 +140,15 @@ class Recordings:
             for column, r in enumerate(own):
                 table[wide : wide + self.size[r], column] = items[self.first[r] : self.first[r] + self.size[r]]
             self.groups.append((own, wide, table))
+        self._pairs: dict[tuple[int, int], np.ndarray] = {}
+
+    def pairs(self, group: int, step: int) -> np.ndarray:
+        """The integers of a group's table, each with the one `step` rows below in its upper half."""
+        if (group, step) not in self._pairs:
+            table = self.groups[group][2].astype(np.uint64)
+            table[: max(0, len(table) - step)] |= table[step:] << np.uint64(32)
+            self._pairs[group, step] = table
+        return self._pairs[group, step]
 
 
 def _judged(x: Recordings, y: Recordings, a: np.ndarray, b: np.ndarray, off: np.ndarray, most: float) -> tuple[np.ndarray, ...]:
@@ -169,11 +184,12 @@ def _near(x: Recordings, y: Recordings, most: float, equal: bool) -> Iterator[tu
         step = max((s for s in STEPS if 8 * s <= m), default=1)
         slack = SLACK if step > 1 else 1e-9
         at = np.arange(0, m, step)
-        for own, wide, table in y.groups:
+        for g, (own, wide, table) in enumerate(y.groups):
+            pairs = y.pairs(g, step)
             begin = int(np.searchsorted(y.size[own], m, "left" if equal else "right"))
-            n = y.size[own[begin:]]
-            if not len(n):
+            if begin == len(own):
                 continue
+            n, of = np.unique(y.size[own[begin:]], return_inverse=True)  # columns of one length have all limits in common
             need = needed(m, n)
             least = max(1, int(np.ceil((0.5 - most) * 2 * need.min() - 1e-9)))  # a shorter overlap's charge alone is too much
             off = np.arange(least - m, wide - least + 1)
@@ -182,27 +198,56 @@ def _near(x: Recordings, y: Recordings, most: float, equal: bool) -> Iterator[tu
             over = np.minimum(m, n - off[:, None]) - np.maximum(0, -off)[:, None]
             low, high = np.searchsorted(at, -off), np.searchsorted(at, n - off[:, None])
             rate = np.maximum(0, high - low[:, None]) / np.maximum(over, 1)
-            limit = (32 * (most + slack) * np.maximum(need, over) - 16 * np.maximum(0, need - over)) * rate
-            limit[over <= 0] = -1
+            limit = np.floor((32 * (most + slack) * np.maximum(need, over) - 16 * np.maximum(0, need - over)) * rate).astype(np.int32)
+            limit[over <= 0] = -(1 << 30)
+            inside = np.flatnonzero((low == 0) & (high == len(at)).all(axis=1))  # offsets at which nothing lies beside any column
+            across = np.flatnonzero((low != 0) | (high != len(at)).any(axis=1))
+            limit, high = limit[:, of], high[across][:, of]
             each = max(1, CELLS // limit.size)
             for i in range(0, len(same), each):
                 part = same[i : i + each]
                 value = x.items[x.first[part][:, None] + at]
                 bits = np.cumsum(np.c_[np.zeros(len(part), np.int32), np.bitwise_count(value)], axis=1, dtype=np.int32)
                 wrong = np.zeros((len(part), *limit.shape), np.uint16)
-                for k, place in enumerate(at):
-                    row = wide + off[0] + place
-                    wrong += np.bitwise_count(table[row : row + len(off), begin:] ^ value[:, k, None, None])
-                # integers beside the column met zeros
-                beside = bits[:, low][:, :, None] + bits[:, -1:, None] - bits[:, high]
-                p, o, c = np.nonzero(wrong <= limit + beside)
-                yield part[p], own[begin + c], off[o]
+                differ, count = np.empty(wrong.shape, np.uint64), np.empty(wrong.shape, np.uint8)
+                for k in range(0, len(at), 2):  # two integers at once
+                    row = wide + off[0] + at[k]
+                    pair = value[:, k].astype(np.uint64)
+                    if k + 1 < len(at):
+                        pair |= value[:, k + 1].astype(np.uint64) << np.uint64(32)
+                        np.bitwise_xor(pairs[row : row + len(off), begin:], pair[:, None, None], out=differ)
+                    else:
+                        np.bitwise_xor(table[row : row + len(off), begin:], pair[:, None, None], out=differ)
+                    np.bitwise_count(differ, out=count)
+                    wrong += count
+                p, o, c = np.nonzero(wrong[:, inside] <= limit[inside])
+                yield part[p], own[begin + c], off[inside[o]]
+                if len(across):  # integers beside the column met zeros
+                    beside = np.take(bits[:, -1:] - bits, high, axis=1, mode="clip")
+                    beside += np.take(bits, low[across], axis=1)[:, :, None]
+                    beside += limit[across]
+                    p, o, c = np.nonzero(wrong[:, across] <= beside)
+                    yield part[p], own[begin + c], off[across[o]]
+
+
+def _batches(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int = 1 << 15) -> Iterator[tuple[np.ndarray, ...]]:
+    """Alignments gathered to about `least`, so that few steps judge many."""
+    held, n = [], 0
+    for part in found:
+        if len(part[0]):
+            held.append(part)
+            n += len(part[0])
+        if n >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def matches(x: Recordings, y: Recordings, most: float) -> tuple[np.ndarray, ...]:
     """(a, b, offset, error): the best alignment of each pair of x and y that errs in at most `most`."""
-    found = [_judged(x, y, a, b, -off, most) for a, b, off in _near(x, y, most, True) if len(a)]
-    found += [_judged(x, y, a, b, off, most) for b, a, off in _near(y, x, most, False) if len(a)]
+    found = [_judged(x, y, a, b, -off, most) for a, b, off in _batches(_near(x, y, most, True))]
+    found += [_judged(x, y, a, b, off, most) for b, a, off in _batches(_near(y, x, most, False))]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     a, b, off, error = (np.concatenate([f[i] for f in found]) for i in range(4))
@@ -213,21 +258,21 @@ def matches(x: Recordings, y: Recordings, most: float) -> tuple[np.ndarray, ...]
 
 
 def fingerprints(recordings: DataFrame, id_col: str, audio_col: str) -> DataFrame:
-    """(id, n_frames, items array<int>) of each row; audio: binary or string of unsigned 8-bit samples."""
+    """(id, n_frames, items array<int>) of each row; audio: binary or string (its UTF-8 bytes) of unsigned 8-bit samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, audio in slices(batches, "audio"):
-            data, offsets = raw(audio)
-            n, items = [], []
-            for i in range(rows.num_rows):
-                chroma = frames(data[offsets[i] : offsets[i + 1]])
-                own = fingerprint(chroma)
-                n.append(len(chroma))
-                items.append(own.view(np.int32))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int32()))], names=["id", "n_frames", "items"])
-
-    audio = F.col(audio_col) if dict(recordings.dtypes)[audio_col] == "string" else F.decode(F.col(audio_col), "ISO-8859-1")
-    return recordings.select(F.col(id_col).cast("long").alias("id"), audio.alias("audio")).mapInArrow(run, "id long, n_frames long, items array<int>")
+        for batch in batches:
+            audio = batch.column(1).fill_null(b"")
+            data, offsets = raw(audio.cast(pa.binary()))
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SLICE_BYTES, "right")) - 1)
+                n, items, ends = fingerprinted(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(items.view(np.int32)))], names=["id", "n_frames", "items"])
+                begin = end
+        trim()
+
+    return recordings.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).cast("binary").alias("audio")).mapInArrow(run, "id long, n_frames long, items array<int>")
 
 
 def _flat(column: pa.Array | pa.ChunkedArray) -> Recordings:
