@@ -4,8 +4,8 @@ Statistics are cut into bins at sample quantiles; each tree takes the split of g
 gradients. Fitted trees are flattened into arrays, and a batch of documents walks all of them level by level in numpy.
 
 Defined results: a null or empty text has statistics of zero; rows are kept one for one, repeated ids included; a null
-id stays null and is not held out; other columns are ignored; texts are read whole. Without labelled rows, or with one
-label only, the score is the share of label 1.
+id stays null and is not held out; other columns are ignored; texts are read whole. With one label only, the score is
+the share of label 1 (0.001 or 0.999 at the ends); without labelled rows it is 0.5. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def _packed(text: pa.StringArray) -> list[bytes]:
 
 
 def _fit_packed(rows: list[bytes], label: np.ndarray) -> Trees:
-    return fit(np.array([np.frombuffer(x) for x in rows]).reshape(len(rows), -1), label)
+    return fit(np.array([np.frombuffer(x) for x in rows]).reshape(len(rows), -1) if rows else np.zeros((0, 1)), label)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:

@@ -23,12 +23,13 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, text, label) of at most `rows` labelled documents that are not held out, by the least hash of the id.
 
-    The sampled labels, bounded by `rows`, are broadcast; texts are not shuffled. Of several labels of one id the
-    greatest counts; rows without id or label are left out.
+    The sampled labels, bounded by `rows`, are broadcast. Of several labels of one id the greatest counts, of several
+    texts of one id the least (nulls count as empty); rows without id or label are left out.
     """
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
 
 
 def fitted(sampled: DataFrame, features: Callable[[pa.StringArray], list[bytes]], fit: Callable[[list[bytes], np.ndarray], object]) -> object:
@@ -54,7 +55,8 @@ def fitted(sampled: DataFrame, features: Callable[[pa.StringArray], list[bytes]]
         trim()
 
     described = sampled.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(describe, "doc_id long, x binary, label int")
-    return pickle.loads(described.repartition(1).mapInArrow(learn, "model binary").first().model)
+    made = described.repartition(1).mapInArrow(learn, "model binary").first()  # none where the plan is known to be empty
+    return pickle.loads(made.model) if made else fit([], np.zeros(0))
 
 
 def scored(docs: DataFrame, score: Callable[[pa.StringArray], np.ndarray], threshold: float, id_col: str = "doc_id") -> DataFrame:

@@ -6,12 +6,14 @@ length take so many places in consecutive sequences. Each piece then finds its r
 
 Defined results: a null or empty text is one piece that holds the end token alone; rows are kept one for one, so rows
 that repeat an id give pieces that repeat (doc_id, piece) but have places of their own; a null id stays null; other
-columns are ignored; very long texts are encoded whole. No documents give no pieces.
+columns are ignored, whatever their names; very long texts are encoded whole, runs of millions of blanks too. No
+documents give no pieces.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,10 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import slices, staged
-from clausewise.llm.prefix_bpe import PATTERN, byte_alphabet
+from clausewise.llm.prefix_bpe import PATTERN, byte_alphabet, encoder
 
 CAPACITY, END = 1024, 2
 _SHIFT = np.int64(40)
+#: Runs of blanks beyond this are encoded by the prefix encoder: the fast library's pattern gives up on some of a million.
+LONG_RUN = 100_000
+_BLANKS = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=2)
@@ -43,7 +48,13 @@ def token_ids(path: str):
         import tiktoken
 
         tool = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens=special)
-        return lambda text: tool.encode_to_numpy(text, allowed_special="all")
+
+        def fast(text: str) -> np.ndarray:
+            if len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in _BLANKS.finditer(text)):
+                return np.frombuffer(encoder(path).encode(text), "<u4")
+            return tool.encode_to_numpy(text, allowed_special="all")
+
+        return fast
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)

@@ -4,8 +4,9 @@ Plain identifiers are found by fixed patterns. Then a chain of transducers rewri
 spelled digits, at/dot disguises) and keeps, for each output character, the source range it came from; the same
 patterns run over the rewritten text, and spans that touch a rewritten place are mapped back and added.
 
-Defined results: a null or empty text has no spans; rows are kept one for one, repeated ids included; a null id stays
-null; other columns are ignored; texts are read whole. Spans are code points, end exclusive, ordered by start, then
+Defined results: a null or empty text has no spans (redacted() keeps a null one null); rows are kept one for one, repeated
+ids included; a null id stays null; other columns are ignored by personal_data() and kept by redacted(), whatever their
+names; texts are read whole; no rows give no rows. Spans are code points, end exclusive, ordered by start, then
 kind in the order of KINDS, then end.
 """
 
@@ -54,15 +55,22 @@ _DIGIT_WORDS = {
 }
 _DIGIT = {w: d for d, words in _DIGIT_WORDS.items() for w in words.split()}
 _ONE = "|".join(sorted(_DIGIT, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:{_ONE})(?:[ \t,/-]{{1,3}}(?:{_ONE})){{3,}}(?!\w)", re.IGNORECASE)
-_WORD = re.compile(r"[^\W\d_]+")
+#: Four or more digit words and numerals one after another; rewritten where there is a word among them.
+_SPELLED = re.compile(rf"(?<!\w)(?:{_ONE}|[0-9]++)(?:[ \t\r\n,/-]{{1,3}}(?:{_ONE}|[0-9]++)(?!\w)){{3,}}(?!\w)", re.IGNORECASE)
+_ITEM = re.compile(r"[^\W\d_]+|[0-9]+")
 
 _AT = re.compile(r"\s*(?:\[\s*(?:at|@|arroba|chez)\s*\]|\(\s*(?:at|@|arroba|chez)\s*\)|\{\s*(?:at|@|arroba|chez)\s*\}|<\s*(?:at|@)\s*>)\s*", re.IGNORECASE)
 _DOT = re.compile(r"\s*(?:\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\{\s*(?:dot|\.|punkt|point|punto)\s*\}|<\s*(?:dot|\.)\s*>)\s*", re.IGNORECASE)
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|dot|\.|punkt|point|punto)\s*[\])}>]", re.IGNORECASE)
-#: Unbracketed forms count only as a whole: a name, "at" or "@", and labels joined by "dot" (the last one at least, before a common top-level domain).
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?: dot |\.)[A-Za-z0-9_%+-]+){0,8}(?P<at> (?:at|@) |@)[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+){0,8}(?: dot )(?:com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|eu|us|ch|at|it|nl)(?![A-Za-z0-9-])", re.IGNORECASE)
-_SPACED_DOT = re.compile(" dot ", re.IGNORECASE)
+#: Unbracketed forms count only as a whole: a name, a word for "@" (or the sign), and labels of which two at least are
+#: joined by a word for the dot in the same language; the last label has two letters or more.
+_AT_WORD = re.compile(r"[ \t\r\n]{1,3}(?P<word>at|arroba|arobase|@)[ \t\r\n]{1,3}|(?P<sign>@)", re.IGNORECASE)
+_DOTS = {"at": "dot|punkt", "arroba": "punto|dot", "arobase": "point|dot", "@": "dot|punkt|punto|point"}
+_JOINT = {at: rf"(?:[ \t\r\n]{{1,3}}(?:{dots})[ \t\r\n]{{1,3}})" for at, dots in _DOTS.items()}
+_SPOKEN_DOT = {at: re.compile(joint, re.IGNORECASE) for at, joint in _JOINT.items()}
+_SPOKEN_DOMAIN = {at: re.compile(rf"[A-Za-z0-9-]++(?:(?:{joint}|\.)[A-Za-z0-9-]++)*(?:{joint}|\.)[A-Za-z]{{2,}}(?![A-Za-z0-9-])", re.IGNORECASE) for at, joint in _JOINT.items()}
+_SPOKEN_NAME = {at: re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:{joint}|\.)[A-Za-z0-9_%+-]++)*+", re.IGNORECASE) for at, joint in _JOINT.items()}
+_DOT_WORD = re.compile(r"[ \t\r\n](?:dot|punkt|punto|point)[ \t\r\n]", re.IGNORECASE)
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -147,21 +155,39 @@ class Rewritten:
     def spelled_digits(self) -> None:
         edits = []
         for m in _SPELLED.finditer(self.text):
-            # each word maps to its own range, and what separates two words goes with the first
-            words = list(_WORD.finditer(m[0]))
-            for i, w in enumerate(words):
-                edits.append((m.start() + w.start(), m.start() + (words[i + 1].start() if i + 1 < len(words) else w.end()), _DIGIT[w[0].lower()]))
+            # each word maps to its own range, and what separates two items goes with the first, but between numerals it stays
+            items = list(_ITEM.finditer(m[0]))
+            if all(w[0].isdigit() for w in items):
+                continue
+            for i, w in enumerate(items):
+                begin, end = m.start() + w.start(), m.start() + w.end()
+                then = m.start() + items[i + 1].start() if i + 1 < len(items) else end
+                if not w[0].isdigit():
+                    edits.append((begin, then, _DIGIT[w[0].lower()]))
+                elif i + 1 < len(items) and not items[i + 1][0].isdigit():
+                    edits.append((end, then, ""))
         self.replace(edits)
 
     def disguises(self) -> None:
         if _BRACKET.search(self.text):
             self.replace([(m.start(), m.end(), "@") for m in _AT.finditer(self.text)])
             self.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(self.text)])
-        if " dot " in self.text or _SPACED_DOT.search(self.text):
-            edits = []
-            for m in _SPOKEN.finditer(self.text):
-                edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _SPACED_DOT.finditer(m[0])]
-                edits.append((*m.span("at"), "@"))
+        if _DOT_WORD.search(self.text):
+            edits, over = [], 0
+            for m in _AT_WORD.finditer(self.text):
+                at = (m["word"] or "@").lower()
+                domain = _SPOKEN_DOMAIN[at].match(self.text, m.end())
+                if domain is None or not _SPOKEN_DOT[at].search(domain[0]):
+                    continue
+                name = None
+                for name in _SPOKEN_NAME[at].finditer(self.text, over, m.start()):
+                    pass
+                over = m.start()
+                if name is None or name.end() != m.start():
+                    continue
+                dots = [*_SPOKEN_DOT[at].finditer(self.text, *name.span()), *_SPOKEN_DOT[at].finditer(self.text, *domain.span())]
+                edits += [(d.start(), d.end(), ".") for d in dots] + [(m.start(), m.end(), "@")]
+                over = domain.end()
             self.replace(sorted(edits))
 
 

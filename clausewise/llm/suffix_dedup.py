@@ -11,7 +11,8 @@ Equal keys of one slice of a task are merged before the shuffle, so a key has at
 
 Defined results: a null or empty text has 0 bytes, 0 removed and the digest of nothing; matches never cross rows; each
 row of a repeated one counts as another place; rows are kept one for one; a null id stays null; other columns are
-ignored; texts are read whole (up to 256 MB each).
+ignored by suffix_dedup() and kept by without_repeats(), whatever their names; texts are read whole, long ones in
+segments; no rows give no rows. A text left without characters is empty, a null one stays null.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from clausewise.llm.common import by_key, mix, raw, slices
 from clausewise.llm.prefix_free import repeated
-from clausewise.llm.triggers import GRAM, HEAD, LENGTH, Windows
+from clausewise.llm.triggers import GRAM, HEAD, LENGTH, Windows, segments
 
 SINGLE, COPY, SEVERAL = 0, 1, 2  # one place of its key in a slice; a further one; the first of several
 DECIDED, COMPARED = 0, 1
@@ -47,11 +48,14 @@ def _merged(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _heads(docs: DataFrame) -> DataFrame:
-    """(key, uid, place) of each trigger; place holds the state in its two low bits; COPY rows have a free key."""
+    """(key, uid, place) of each trigger; place holds the state in its two low bits; COPY rows have a free key.
+
+    A trigger near the border of two segments of a long text is given by both, and so passes as repeated; what it holds
+    is told later by its bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text in slices(batches):
-            data, offsets = raw(text)
+        for rows, data, offsets, of, base in segments(batches):
             windows = Windows(data, offsets)
             found = np.zeros(len(data) + 1, bool)
             found[windows.first] = found[windows.last] = True
@@ -63,8 +67,8 @@ def _heads(docs: DataFrame) -> DataFrame:
                 continue
             key = windows.prefix.hash(at, at + HEAD)
             state, _ = _merged(key)
-            uid = rows.column(0).to_numpy()[row]
-            place = at - offsets[row]
+            uid = rows.column(0).to_numpy()[of[row]]
+            place = at - offsets[row] + base[row]
             key = np.where(state == COPY, mix(uid.view(np.uint64) + place.astype(np.uint64)), key)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(uid), pa.array(place << 2 | state)], names=["key", "uid", "place"])
 
@@ -92,20 +96,22 @@ def _first(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _intervals(texts: DataFrame) -> DataFrame:
-    """(key, whole, uid, span) of the intervals whose triggers are repeated; texts: (uid, text, places).
+    """(key, whole, uid, vid, span) of the intervals whose triggers are repeated; texts: (uid, text, places, vid).
 
     span: begin << 28 | number of windows << 2 | state. Rows known as repeated by themselves have a free key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text in slices(batches):
-            data, offsets = raw(text)
+        for rows, data, offsets, of, base in segments(batches):
             windows = Windows(data, offsets)
             if not len(windows.at):
                 continue
-            places = rows.column(2)
+            places = rows.column(2).take(pa.array(of))
+            owner = np.repeat(np.arange(len(of)), pc.list_value_length(places).to_numpy())
+            at = places.flatten().to_numpy() - base[owner]
+            inside = (at >= 0) & (at < np.diff(offsets)[owner])
             good = np.zeros(len(data) + 1, bool)
-            good[places.flatten().to_numpy() + np.repeat(offsets[:-1], pc.list_value_length(places).to_numpy())] = True
+            good[(at + offsets[owner])[inside]] = True
             # the last trigger counts where its head lies in the window
             fits = good[windows.first] & (good[windows.last] | (windows.last + HEAD > windows.at + LENGTH))
             hit = np.flatnonzero(fits)
@@ -118,19 +124,19 @@ def _intervals(texts: DataFrame) -> DataFrame:
             key = windows.prefix.hash(first[heads], last[heads] + GRAM)
             whole = windows.prefix.hash(begin, begin + n - 1 + LENGTH) + mix((first[heads] - begin << 32 | n).astype(np.uint64))
             state, _ = _merged(key, whole)
-            uid = rows.column(0).to_numpy()[row]
-            span = begin - offsets[row] << 28 | n << 2 | state
+            uid, vid = (rows.column(i).to_numpy()[of[row]] for i in (0, 3))
+            span = begin - offsets[row] + base[row] << 28 | n << 2 | state
             key = np.where(state == COPY, mix(uid.view(np.uint64) + span.view(np.uint64)), key)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(uid), pa.array(span)], names=["key", "whole", "uid", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(uid), pa.array(vid), pa.array(span)], names=["key", "whole", "uid", "vid", "span"])
 
-    return _first(texts, "uid", "text", "places").mapInArrow(run, "key long, whole long, uid long, span long")
+    return _first(texts, "uid", "text", "places", "vid").mapInArrow(run, "key long, whole long, uid long, vid long, span long")
 
 
 def _decided(intervals: DataFrame) -> DataFrame:
-    """(state, key, uid, span): DECIDED spans are repeated; of COMPARED ones the windows are to be ordered by key."""
+    """(state, key, uid, vid, span): DECIDED spans are repeated; of COMPARED ones the windows are to be ordered by key."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, whole, uid, span = (table.column(i).to_numpy() for i in range(4))
+        key, whole, uid, vid, span = (table.column(i).to_numpy() for i in range(5))
         state = span & 3
         kind = np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])] | (state == COPY)
         first = np.flatnonzero(kind)
@@ -140,15 +146,15 @@ def _decided(intervals: DataFrame) -> DataFrame:
         kinds = np.repeat(np.add.reduceat((kind & (state != COPY)).astype(np.int64), group), np.diff(np.r_[group, len(key)]))
         compare = kind & (state != COPY) & (kinds > 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[np.full(again.sum(), DECIDED), np.full(compare.sum(), COMPARED)].astype(np.int32)), pa.array(np.r_[key[again], key[compare]]), pa.array(np.r_[uid[again], uid[compare]]), pa.array(np.r_[span[again], span[compare]])],
-            names=["state", "key", "uid", "span"],
+            [pa.array(np.r_[np.full(again.sum(), DECIDED), np.full(compare.sum(), COMPARED)].astype(np.int32)), pa.array(np.r_[key[again], key[compare]]), pa.array(np.r_[uid[again], uid[compare]]), pa.array(np.r_[vid[again], vid[compare]]), pa.array(np.r_[span[again], span[compare]])],
+            names=["state", "key", "uid", "vid", "span"],
         )
 
-    return intervals.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(lambda batches: by_key(batches, work), "state int, key long, uid long, span long")
+    return intervals.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(lambda batches: by_key(batches, work), "state int, key long, uid long, vid long, span long")
 
 
 def _fragments(texts: DataFrame) -> DataFrame:
-    """(key, uid, begin, bytes) of the spans to compare; texts: (uid, text, spans array<struct<key, span>>)."""
+    """(key, uid, vid, begin, bytes) of the spans to compare; texts: (uid, text, spans array<struct<key, span>>, vid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in slices(batches):
@@ -162,17 +168,18 @@ def _fragments(texts: DataFrame) -> DataFrame:
             ends = np.r_[0, np.cumsum(size)]
             take = np.arange(ends[-1]) + np.repeat(begin_at - ends[:-1], size)
             out = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[take].tobytes())])
-            yield pa.RecordBatch.from_arrays([key, pa.array(np.repeat(rows.column(0).to_numpy(), per)), pa.array(begin), out], names=["key", "uid", "begin", "bytes"])
+            uid, vid = (pa.array(np.repeat(rows.column(i).to_numpy(), per)) for i in (0, 3))
+            yield pa.RecordBatch.from_arrays([key, uid, vid, pa.array(begin), out], names=["key", "uid", "vid", "begin", "bytes"])
 
-    return _first(texts, "uid", "text", "spans").mapInArrow(run, "key long, uid long, begin long, bytes binary")
+    return _first(texts, "uid", "text", "spans", "vid").mapInArrow(run, "key long, uid long, vid long, begin long, bytes binary")
 
 
 def _ordered(fragments: DataFrame) -> DataFrame:
-    """(uid, run) of the repeated windows; run: begin << 28 | bytes."""
+    """(uid, vid, run) of the repeated windows; run: begin << 28 | bytes."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        data, offsets = raw(table.column(3).combine_chunks().cast(pa.binary()))
+        data, offsets = raw(table.column(4).combine_chunks().cast(pa.binary()))
         found = repeated(data, offsets)
         count = np.diff(offsets) - LENGTH + 1
         row = np.repeat(np.arange(len(count)), count)
@@ -180,79 +187,90 @@ def _ordered(fragments: DataFrame) -> DataFrame:
         head = found & np.r_[True, ~found[:-1] | (row[1:] != row[:-1])]
         tail = found & np.r_[~found[1:] | (row[1:] != row[:-1]), True]
         a, b = np.flatnonzero(head), np.flatnonzero(tail)
-        begin = table.column(2).to_numpy()[row[a]] + at[a]
-        yield pa.RecordBatch.from_arrays([pa.array(table.column(1).to_numpy()[row[a]]), pa.array(begin << 28 | b - a + LENGTH)], names=["uid", "run"])
+        uid, vid, begin = (table.column(i).to_numpy()[row[a]] for i in (1, 2, 3))
+        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(vid), pa.array(begin + at[a] << 28 | b - a + LENGTH)], names=["uid", "vid", "run"])
 
-    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 4096), "uid long, run long")
+    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 4096), "uid long, vid long, run long")
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
-    """(uid, runs): for each text (uid, text) with repeated strings, ranges begin << 28 | bytes that they cover."""
+    """(uid, vid, runs): for each text (uid, vid, text) with repeated strings, ranges begin << 28 | bytes that they cover."""
     places = _repeated_heads(_heads(texts)).groupBy("uid").agg(F.collect_set("place").alias("places"))
     spans = _decided(_intervals(texts.join(places, "uid")))
-    compared = spans.where(F.col("state") == COMPARED).groupBy("uid").agg(F.collect_set(F.struct("key", "span")).alias("spans"))
-    ordered = _ordered(_fragments(texts.join(compared, "uid")))
+    compared = spans.where(F.col("state") == COMPARED).groupBy("uid", F.col("vid").alias("of")).agg(F.collect_set(F.struct("key", "span")).alias("spans"))
+    ordered = _ordered(_fragments(texts.join(compared, "uid").where("vid = of")))
     bytes_of = F.shiftright("span", 28) * F.lit(1 << 28) + F.shiftright("span", 2).bitwiseAND(F.lit((1 << 26) - 1)) - 1 + LENGTH
-    runs = spans.where(F.col("state") == DECIDED).select("uid", bytes_of.alias("run")).union(ordered)
-    return runs.groupBy("uid").agg(F.collect_set("run").alias("runs"))
+    runs = spans.where(F.col("state") == DECIDED).select("uid", "vid", bytes_of.alias("run")).union(ordered)
+    return runs.groupBy("uid", F.col("vid").alias("of")).agg(F.collect_set("run").alias("runs"))
+
+
+def _with_runs(docs: DataFrame, text_col: str, others: list[str]) -> DataFrame:
+    """(text, runs, c0, c1, ...) of each row of docs, c0 and on being the other columns by their places."""
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    held = docs.select(name(text_col).alias("text"), *(name(c).alias(f"c{i}") for i, c in enumerate(others)))
+    # 128 bits tell rows apart; what holds for one row holds for those that equal it
+    told = ["text", *(c for c, kind in held.dtypes[1:] if "map<" not in kind and kind != "variant")]
+    texts = held.withColumn("uid", F.xxhash64(*told)).withColumn("vid", F.xxhash64(F.lit(1), *told))
+    runs = repeated_runs(texts).select("uid", "of", "runs")
+    joined = texts.join(runs, "uid", "left").where("of is null or vid = of")
+    return joined.select("text", "runs", *(f"c{i}" for i in range(len(others))))
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """docs with `uid`, a hash of id and text, by which texts are found again."""
-    return docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+def merged(runs: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs that ranges begin << 28 | bytes cover, in order."""
+    if not runs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run = np.sort(np.array(runs, np.int64))
+    begin, end = run >> 28, np.maximum.accumulate((run >> 28) + (run & _LOW))
+    head = np.r_[True, begin[1:] > end[:-1]]
+    return begin[head], end[np.r_[np.flatnonzero(head)[1:] - 1, len(end) - 1]]
 
 
-def _covered(size: int, runs: list[int] | None) -> np.ndarray:
-    """Whether each byte is covered by a run."""
-    edge = np.zeros(size + 1, np.int64)
-    if runs:
-        run = np.array(runs, np.int64)
-        np.add.at(edge, run >> 28, 1)
-        np.add.at(edge, (run >> 28) + (run & _LOW), -1)
-    return np.cumsum(edge[:-1]) > 0
+def _rest(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
+    """What lies outside the runs."""
+    return b"".join(data[a:b].tobytes() for a, b in zip(np.r_[0, end], np.r_[begin, len(data)], strict=True))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
-    texts = identified(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in slices(batches):
             data, offsets = raw(text)
             size, removed, spans, digest = [], [], [], []
-            for i, runs in enumerate(rows.column(2).to_pylist()):
+            for i, runs in enumerate(rows.column(1).to_pylist()):
                 own = data[offsets[i] : offsets[i + 1]]
-                gone = _covered(len(own), runs)
+                begin, end = merged(runs)
                 size.append(len(own))
-                removed.append(int(gone.sum()))
-                spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0)
-                digest.append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                removed.append(int((end - begin).sum()))
+                spans.append(len(begin))
+                digest.append(hashlib.sha256(_rest(own, begin, end)).hexdigest())
+            yield pa.RecordBatch.from_arrays([rows.column(2), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = texts.join(repeated_runs(texts), "uid", "left")
-    return joined.select("doc_id", "text", "runs").mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_runs(docs, text_col, [id_col]).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of docs (doc_id, text among them), the characters that lie wholly in repeated strings removed from the text."""
-    place = docs.columns.index("text")
-    texts = identified(docs)
+def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of docs, the characters that lie wholly in repeated strings removed from the text."""
+    names = docs.columns
+    place = names.index(text_col)
+    others = [c for c in names if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in slices(batches):
             data, offsets = raw(text)
             new = []
-            for i, runs in enumerate(rows.column(rows.num_columns - 1).to_pylist()):
+            for i, runs in enumerate(rows.column(1).to_pylist()):
                 own = data[offsets[i] : offsets[i + 1]]
                 if not runs:
-                    new.append(rows.column(place)[i].as_py())
+                    new.append(rows.column(0)[i].as_py())
                     continue
-                gone = _covered(len(own), runs)
-                first = np.flatnonzero(own & 0xC0 != 0x80)  # where characters begin
-                whole = np.logical_and.reduceat(gone, first)
-                new.append(own[~np.repeat(whole, np.diff(np.r_[first, len(own)]))].tobytes().decode())
-            out = rows.select(range(rows.num_columns - 1))
-            yield out.set_column(place, rows.schema.field(place).with_type(pa.string()), pa.array(new, pa.string()))
-
-    joined = texts.join(repeated_runs(texts), "uid", "left")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "runs").mapInArrow(run, docs.schema)
+                begin, end = merged(runs)
+                first = np.r_[np.flatnonzero(own & 0xC0 != 0x80), len(own)]  # where characters begin
+                begin, end = first[np.searchsorted(first, begin)], first[np.searchsorted(first, end, "right") - 1]
+                new.append(_rest(own, begin, np.maximum(begin, end)).decode())
+            columns = [rows.column(2 + i) for i in range(len(others))]
+            columns.insert(place, pa.array(new, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return _with_runs(docs, text_col, others).mapInArrow(run, docs.schema)

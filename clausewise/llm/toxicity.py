@@ -4,8 +4,9 @@ The score is a logistic of bias, linear weights and the pairwise products of the
 terms (an insult with the mention of a group, say) can weigh what neither does alone.
 
 Defined results: a null or empty text has no terms and gets the score of the bias; rows are kept one for one, repeated
-ids included; a null id stays null and is not held out; other columns are ignored; texts are read whole. Without
-labelled rows, or with one label only, the bias alone is fitted.
+ids included; a null id stays null and is not held out; other columns are ignored (without_toxic() keeps them all);
+texts are read whole. With one label only, the score is the share of label 1 (0.001 or 0.999 at the ends); without
+labelled rows it is 0.5. No documents give no rows. without_toxic() judges each row by itself, repeated ones alike.
 """
 
 from __future__ import annotations

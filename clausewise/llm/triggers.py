@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
-from clausewise.llm.common import Prefixes
+from clausewise.llm.common import SLICE_BYTES, Prefixes, raw, slices
 
 LENGTH = 200  # bytes of a window that counts as repeated
 GRAM = 16  # bytes that the rolling hash covers
 SPAN = 128  # the least hash of so many neighbouring places is a trigger
 HEAD = LENGTH - SPAN  # bytes from a window's first trigger that surely lie in the window
 REST = LENGTH - SPAN - GRAM + 1  # places from a window's begin to that of its last full span
-_PLACE = 28
+_PLACE = 31
+
+
+def segments(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets, row, base): runs of texts of about `limit` bytes; row and base say which row each text is of and where in it.
+
+    A longer text comes in segments that share LENGTH - 1 bytes, so that each of its windows lies in one segment. As all
+    that is computed of a window follows from its own bytes, segments change no result.
+    """
+    for rows, text in slices(batches, limit=limit):
+        data, offsets = raw(text)
+        if len(data) <= 2 * limit:
+            yield rows, data, offsets, np.arange(rows.num_rows), np.zeros(rows.num_rows, np.int64)
+            continue
+        for row in range(rows.num_rows):
+            own = data[offsets[row] : offsets[row + 1]]
+            for base in range(0, max(1, len(own) - LENGTH + 1), limit):
+                part = own[base : base + limit + LENGTH - 1]
+                yield rows, part, np.array([0, len(part)]), np.array([row]), np.array([base])
 
 
 class Windows:
     """The windows of all rows of a byte array, with the first and last trigger that each fixes by its own bytes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        if len(data) >= 1 << _PLACE:
-            raise ValueError("a text is longer than 256 MB")
         self.prefix = Prefixes(data)
         count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
         self.row = np.repeat(np.arange(len(count)), count)

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent.parent.parent))
 
@@ -70,6 +71,14 @@ def test_plain_personal_data_equals_the_patterns():
         ("4111 1111 １111 1111!", "[CARD]!"),
         ("one nine two dot one six eight dot one dot one two.", "[IP]."),
         ("jоhn@exаmple.com", "[EMAIL]"),
+        ("ann at host dot dev!", "[EMAIL]!"),
+        ("escribe a ana arroba ejemplo punto es hoy", "escribe a [EMAIL] hoy"),
+        ("ann\n at  my.host \ndot  dev", "[EMAIL]"),
+        ("go to 192 dot 168 dot 0 dot 1 now", "go to [IP] now"),
+        ("card 4111 one one one one 111 one 1111.", "card [CARD]."),
+        ("we looked at this point in time", "we looked at this point in time"),
+        ("see it at example.com and dot the page", "see it at example.com and dot the page"),
+        ("1 2 3 4 5 6", "1 2 3 4 5 6"),
         ("we met at noon, one two three four times", "we met at noon, one two three four times"),
     ],
 )
@@ -77,6 +86,32 @@ def test_disguises_are_mapped_back(text, clear):
     assert pii.redact(text, pii.find(text)[1]) == clear
 
 
+def _plain_spans(text):
+    """The contract's base spans by its own patterns."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(d)]
+    return sorted(found + [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15])
+
+
+def test_personal_data_query_equals_the_patterns(docs):
+    more = docs.sparkSession.createDataFrame([(1, "ann at host dot dev, 10.0.0.1"), (1, "a@b.cd a@b.cd +49 151 1234567"), (2, "x" * 9_000 + " a@b.c")], "doc_id long, text string")
+    held = docs.union(more).withColumn("n_email", docs.doc_id)
+    expected = []
+    for r in held.collect():
+        base = _plain_spans(r.text or "")
+        kinds = Counter(k for _, k, _ in base)
+        expected.append((r.doc_id or -1, *(kinds[k] for k in range(4)), hashlib.sha256(pii.written(base).encode()).hexdigest(), pii.written(pii.find(r.text or "")[1])))
+    assert sorted((r.doc_id or -1, *list(r)[1:]) for r in pii.personal_data(held).collect()) == sorted(expected)
+    assert ("email:0:19,ip:21:29") in [e[-1] for e in expected if e[0] == 1]
+
+
+def test_redacted_keeps_rows_and_columns(spark):
+    rows = [(1, "to a@b.cd", "k"), (1, "to a@b.cd", "k"), (None, None, None), (2, "", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    assert sorted(map(tuple, pii.redacted(docs).collect()), key=str) == sorted([(1, "to [EMAIL]", "k"), (1, "to [EMAIL]", "k"), (None, None, None), (2, "", "m")], key=str)
+
+
 def test_suffix_dedup_equals_brute_force(spark):
     random.seed(5)
     base = ["".join(random.choice("abc dé") for _ in range(300)) for _ in range(6)]
@@ -99,6 +134,54 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect())) == sorted(expected)
 
 
+def test_long_texts_come_in_segments(spark, monkeypatch):
+    """One text of many segments, with a passage twice, across a border, and once in another text."""
+    from clausewise.llm import triggers
+
+    random.seed(8)
+    noise = lambda n: "".join(random.choice("abcdefghij klmnop") for _ in range(n))
+    passage = noise(900)
+    rows = [(1, noise(9_600) + passage + noise(30_000) + passage + noise(500)), (2, "é" + passage[100:500]), (3, noise(400))]
+    monkeypatch.setattr(triggers.segments, "__defaults__", (5_000,))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert got == {1: (1800, 2), 2: (400, 1), 3: (0, 0)}
+
+
+def test_without_repeats_keeps_clashing_columns(spark):
+    passage = "".join(random.choice("abcé ") for _ in range(300))
+    names = "uid runs places spans vid of key c0".split()
+    rows = [(1, "x" + passage + "y", *range(8)), (2, passage, *range(8)), (2, passage, *range(8)), (None, None, *range(8)), (3, "", *range(8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = suffix_dedup.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "xy", *range(8)), (2, "", *range(8)), (2, "", *range(8)), (None, None, *range(8)), (3, "", *range(8))], key=str)
+
+
+def test_merged_runs_equal_single_bytes():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        runs = [int(a) << 28 | int(n) for a, n in zip(rng.integers(0, 60, 6), rng.integers(1, 12, 6), strict=True)]
+        gone = np.zeros(80, bool)
+        for r in runs:
+            gone[r >> 28 : (r >> 28) + (r & 0xFFF)] = True
+        begin, end = suffix_dedup.merged(runs)
+        edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0]))
+        assert begin.tolist() == edges[::2].tolist() and end.tolist() == edges[1::2].tolist()
+
+
+def test_packing_of_very_long_blanks(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    texts = ["a" + " " * 1_200_000 + "b", "\n" * 1_100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter()
+    for r in packing.best_fit(docs, BPE).collect():
+        got[r.doc_id] += r.length
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_packing_has_no_gaps_and_keeps_every_piece(docs):
     got = packing.best_fit(docs, BPE).collect()
     sequences, pieces = {}, {}
@@ -112,9 +195,11 @@ def test_packing_has_no_gaps_and_keeps_every_piece(docs):
             at += length
         assert at <= 1024
     assert len(sequences) <= 1.02 * sum(r.length for r in got) / 1024 + 1
-    encode = packing.token_ids(BPE)
-    for r in docs.where("doc_id < 90000").collect():
-        ids, at = np.append(encode(r.text), 2).astype("<u4"), 0
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    for r in docs.where("doc_id <> 90000").collect():
+        ids, at = np.append(library.encode(r.text or "", add_special_tokens=False).ids, 2).astype("<u4"), 0
         for p in sorted(pieces[r.doc_id], key=lambda p: p.piece):
             assert p.start == at and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
             at += p.length
@@ -278,6 +363,31 @@ def test_matched_recordings_equal_brute_force(spark):
     assert hits >= 12 and excerpts == 4
 
 
+def test_binary_recordings_are_read_byte_by_byte(spark):
+    """Samples of 128 and more in a binary column, null, short and repeated recordings, no rows, a clashing column."""
+    rng = np.random.default_rng(3)
+    sound = (128 + 100 * np.sin(np.arange(4000) / 9)).astype(np.uint8)
+    rows = [(1, bytes(sound), 1), (50, bytes(sound), 1), (50, bytes(sound), 1), (2, bytes([200] * 1000), 1), (3, None, 1), (4, b"", 1), (None, bytes(rng.integers(0, 256, 3000, np.uint8)), 1)]
+    audio = spark.createDataFrame(rows, "rec long, sound binary, items int")
+    got = [r for r in chroma.matched(audio, "rec", "sound").collect()]
+    assert sorted((r.n_frames, r.n_items) for r in got) == sorted([((n - 512) // 64 + 1, max(0, (n - 512) // 64 - 14)) if n >= 512 else (0, 0) for n in (4000, 4000, 4000, 1000, 0, 0, 3000)])
+    assert [(r.n_matches, r.best_id) for r in got if r.rec == 50] == [(2, None)] * 2
+    assert chroma.matched(audio.limit(0), "rec", "sound").count() == 0
+
+
+def test_classifiers_without_labels_and_with_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "x")], "doc_id long, text string").withColumn("score", F.lit(7))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    ones = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    for module, score in ((toxicity, toxicity.toxicity), (boosted, boosted.quality)):
+        for labels, expected in ((none, 0.5), (ones, 0.999)):
+            got = score(docs, module.train(docs, labels)).collect()
+            assert len(got) == 5 and all(abs(r.score - expected) < 1e-6 for r in got)
+            assert [r.held_out for r in got if r.doc_id is None] == [False]
+            assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+        assert score(docs.limit(0), module.train(docs.limit(0), none)).count() == 0
+
+
 @pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.9), (boosted, "quality", 0.97)])
 def test_held_out_accuracy(spark, module, label, least):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
