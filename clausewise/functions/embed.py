@@ -15,20 +15,32 @@ DIM = 512
 WORD = re.compile(r"[a-z0-9$]+(?:\.\d+)?")
 
 
+def vectors(texts: list[str | None], dim: int = DIM) -> np.ndarray:
+    """A row for each text: every distinct gram of the batch is hashed once, and all rows are added in one call.
+
+    A text without words (or null) has the zero vector.
+    """
+    words = [WORD.findall(t.lower()) if t else [] for t in texts]
+    grams = [w + [f"{a}_{b}" for a, b in zip(w, w[1:])] for w in words]
+    known = {g: i for i, g in enumerate(dict.fromkeys(g for row in grams for g in row))}
+    hashed = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in known), ">u8").astype(np.uint64)
+    gram = np.array([known[g] for row in grams for g in row], np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+    sign = np.where(hashed >> np.uint64(63) == 1, 1.0, -1.0)
+    place = row * dim + (hashed % np.uint64(dim)).astype(np.int64)[gram]
+    out = np.bincount(place, sign[gram], minlength=len(texts) * dim).reshape(len(texts), dim)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return (out / np.where(length == 0, 1, length)).astype(np.float32)
+
+
 def vector(text: str | None, dim: int = DIM) -> np.ndarray:
-    """One text's vector; a text without words (or null) has the zero vector."""
-    words = WORD.findall((text or "").lower())
-    out = np.zeros(dim, np.float32)
-    for gram in [*words, *map("_".join, zip(words, words[1:]))]:
-        hashed = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-        out[hashed % dim] += 1 if hashed >> 63 else -1
-    length = np.linalg.norm(out)
-    return out / length if length else out
+    """One text's vector."""
+    return vectors([text], dim)[0]
 
 
 @F.pandas_udf(ArrayType(FloatType()))
 def hashed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: vector(t))
+    return pd.Series(list(vectors(texts.tolist())))
 
 
 def embedded(rows: DataFrame, text: str, cache: DataFrame | None = None, embed=hashed) -> DataFrame:

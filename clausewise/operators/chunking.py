@@ -11,17 +11,28 @@ from pyspark.sql import functions as F
 from clausewise.functions.text import chunk_id
 
 SIZE, OVERLAP = 2048, 256
+SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
 def fixed_windows(docs: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(key, chunk_id, start, end, chunk): windows of `size` characters that overlap; empty texts give none."""
+    """(key, chunk_id, start, end, chunk): windows of `size` characters that overlap; empty texts give none.
+
+    A text is first cut into pieces of `size - overlap` characters by one pattern, in time that follows its length; a
+    window is a piece with the begin of the next ones.
+    """
     step = size - overlap
+    if overlap >= size or step < 1:
+        raise ValueError("windows must be longer than their overlap")
+    more = -(-overlap // step)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     n = F.length(text)
-    count = F.greatest(F.lit(0), F.ceil((n - size) / step))
-    at = docs.where(n > 0).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long"))))
-    start = F.col("i") * step
-    out = at.select(key, start.alias("start"), F.least(start + size, n).cast("long").alias("end"), F.col(text).alias("_t"))
-    return out.select(key, chunk_id(F.col(key), F.col("start")).alias("chunk_id"), "start", "end", F.expr("substring(_t, cast(start + 1 as int), cast(end - start as int))").alias("chunk"))
+    cut = docs.where(n > 0).select(key, n.alias("_n"), pieces.alias("_p"))
+    count = F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / step)).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), count), lambda i: F.substring(F.array_join(F.slice("_p", i + 1, F.lit(more + 1)), ""), 1, size))
+    at = cut.select(key, "_n", F.posexplode(windows).alias("_i", "chunk"))
+    start = F.col("_i").cast("long") * step
+    out = at.select(key, start.alias("start"), F.least(start + size, F.col("_n")).cast("long").alias("end"), "chunk")
+    return out.select(key, chunk_id(F.col(key), F.col("start")).alias("chunk_id"), "start", "end", "chunk")
 
 
 def paragraphs(docs: DataFrame, key: str, text: str, separator: str = "\n") -> DataFrame:
@@ -37,31 +48,45 @@ def flat_offsets(rows: DataFrame, key: str, order: str, text: str, gap: int = 2)
     return rows.withColumn("start", start).withColumn("end", (F.col("start") + F.length(text)).cast("long"))
 
 
-def split_recursively(text: str, size: int = SIZE, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
-    """Parts of at most `size` characters: cut at the coarsest separator that occurs, merged again up to the size."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    for i, separator in enumerate(separators):
-        if separator in text:
-            out, held = [], ""
-            for part in text.split(separator):
-                if held and len(held) + len(separator) + len(part) <= size:
-                    held += separator + part
-                    continue
-                if held:
-                    out += split_recursively(held, size, separators[i + 1 :])
-                held = part
-            return out + split_recursively(held, size, separators[i + 1 :])
-    return [text[a : a + size] for a in range(0, len(text), size)]
+def split_recursively(text: str, size: int = SIZE, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
+    """Ranges of at most `size` characters that cover a text but for blank parts.
+
+    A range that is too long is cut behind each place of the coarsest separator not tried yet; the parts are joined again
+    as long as they fit, and parts that are still too long are cut by the next separator, at last by length.
+    """
+    done: list[tuple[int, int]] = []
+    todo = [(0, len(text), 0)]  # a stack: the next range on top
+    while todo:
+        begin, end, level = todo.pop()
+        if end - begin <= size:
+            done.append((begin, end))
+            continue
+        if level == len(separators):
+            done += [(a, min(end, a + size)) for a in range(begin, end, size)]
+            continue
+        cuts, at = [begin], text.find(separators[level], begin, end)
+        while at >= 0:
+            cuts.append(at + len(separators[level]))
+            at = text.find(separators[level], cuts[-1], end)
+        if cuts[-1] < end:
+            cuts.append(end)
+        joined: list[tuple[int, int, int]] = []
+        for a, b in zip(cuts, cuts[1:]):
+            if joined and b - joined[-1][0] <= size:
+                joined[-1] = (joined[-1][0], b, level + 1)
+            else:
+                joined.append((a, b, level + 1))
+        todo += reversed(joined)
+    return [(a, b) for a, b in done if text[a:b].strip()]
 
 
 def recursive_windows(docs: DataFrame, key: str, text: str, size: int = SIZE) -> DataFrame:
-    """(key, n, chunk) of split_recursively; recursion is beyond built-in functions, so batches go through Arrow."""
+    """(key, n, start, end, chunk) of split_recursively; recursion is beyond built-in functions, so batches go through Arrow."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, n, c) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for n, c in enumerate(split_recursively(t or "", size))]
-            yield pd.DataFrame(rows, columns=["key", "n", "chunk"])
+            rows = [(k, n, a, b, t[a:b]) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) if t for n, (a, b) in enumerate(split_recursively(t, size))]
+            yield pd.DataFrame(rows, columns=["key", "n", "start", "end", "chunk"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInPandas(run, f"key {kind}, n long, chunk string").withColumnRenamed("key", key)
+    return docs.select(key, text).mapInPandas(run, f"key {kind}, n long, start long, end long, chunk string").withColumnRenamed("key", key)
