@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.functions.text import content_words, tokens
@@ -14,20 +14,36 @@ def postings(docs: DataFrame, tenant: str, key: str, text: str) -> DataFrame:
     return docs.select(tenant, key, F.explode(tokens(F.col(text))).alias("token")).groupBy(tenant, key, "token").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, tenant: str, key: str, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query_id, tenant, key, score, rank): each query against every tenant, top k by score, scores above 0 only.
+def _vocabulary(docs: DataFrame, tenant: str, text: str) -> DataFrame:
+    """(tenant, token, c): how many documents of a tenant have each token; '' counts the documents, a zero byte their tokens."""
+    found = tokens(F.col(text))
+    one = F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("token"), F.lit(1).cast("long").alias("w")))
+    every = F.array(F.struct(F.lit("").alias("token"), F.lit(1).cast("long").alias("w")), F.struct(F.lit("\0").alias("token"), F.size(found).cast("long").alias("w")))
+    rows = docs.where(F.col(text).isNotNull() & F.col(tenant).isNotNull()).select(tenant, F.explode(F.concat(one, every)).alias("t")).select(tenant, "t.token", "t.w")
+    return rows.where("token is not null").groupBy(tenant, "token").agg(F.sum("w").alias("c"))
 
-    index: postings(); queries: (query_id, token) with repeats, joined only to the tokens that they name. Statistics
-    are per tenant; a negative idf becomes epsilon times the tenant's mean idf.
+
+def bm25(docs: DataFrame, queries: DataFrame, tenant: str, key: str, text: str, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(query_id, tenant, key, score, rank): queries against tenants, top k by score, scores above 0 only.
+
+    queries: (query_id, token) with repeats, for every tenant; or (query_id, tenant, token) for that tenant only.
+    Statistics are per tenant; a negative idf becomes epsilon times the tenant's mean idf. Documents are read twice: for
+    the vocabulary, whose one exchange serves the counts, the idf and its mean, and for the rows of asked tokens, which
+    bring the length of their document along. Documents without text or tenant are left out.
     """
-    lengths = index.groupBy(tenant, key).agg(F.sum("tf").alias("len"))
-    stats = lengths.groupBy(tenant).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    idf = index.groupBy(tenant, "token").agg(F.count("*").alias("df")).join(stats.select(tenant, "n"), tenant).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean_idf = idf.groupBy(tenant).agg(F.avg("raw").alias("mean_idf"))
-    idf = idf.join(mean_idf, tenant).select(tenant, "token", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    hit = index.join(asked, "token").join(idf, [tenant, "token"]).join(lengths, [tenant, key]).join(stats.select(tenant, "mean"), tenant)
+    every = _vocabulary(docs, tenant, text)
+    stats = every.groupBy(tenant).agg(F.max(F.when(F.col("token") == "", F.col("c"))).alias("n"), F.max(F.when(F.col("token") == "\0", F.col("c"))).alias("total"))
+    raw = F.when(~F.col("token").isin("", "\0"), F.log(F.col("n") - F.col("c") + 0.5) - F.log(F.col("c") + 0.5))
+    rated = every.join(stats, tenant).select(tenant, "token", raw.alias("raw"))
+    of_tenant = rated.groupBy(tenant).agg(F.avg("raw").alias("mean_idf")).join(stats.select(tenant, (F.col("total") / F.col("n")).alias("mean")), tenant)
+    own = [tenant] if tenant in queries.columns else []
+    asked = queries.groupBy("query_id", *own, "token").agg(F.count("*").alias("times"))
+    found = tokens(F.col(text))
+    said = docs.where(F.col(text).isNotNull() & F.col(tenant).isNotNull()).select(tenant, key, F.size(found).alias("len"), F.explode(found).alias("token"))
+    said = said.join(asked.select(*own, "token").distinct(), [*own, "token"], "left_semi").groupBy(tenant, key, "token", "len").agg(F.count("*").alias("tf"))
+    hit = said.join(rated, [tenant, "token"]).join(of_tenant, tenant).join(asked, [*own, "token"])
+    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
+    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scores = hit.groupBy("query_id", tenant, key).agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scores, ["query_id", tenant], [F.desc("score"), F.col(key)], k).where("score > 0")
 
@@ -60,9 +76,21 @@ def rerank(candidates: DataFrame, keys: list[str], item: str, query: str, text:
     return top_k(scored.withColumnRenamed("rank", "former"), keys, [F.desc("score"), F.col("former"), F.col(item)], k).drop("former")
 
 
+def identity_order(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """The reranker that keeps the order: scores n to 1."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    return candidates.withColumn("score", (n - F.col("rank") + 1).cast("double"))
+
+
 def definitions(hits: DataFrame, terms: DataFrame, key: str, text: str, most: int = 2, least_length: int = 4) -> DataFrame:
-    """(key, term, place): the longest terms whose words a text has, by an equi-join on the term's first word."""
-    words = hits.select(key, text, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
-    met = words.join(terms.where(F.length("term") >= least_length).withColumn("word", F.element_at(tokens(F.col("term")), 1)), "word")
-    met = met.where(F.expr(f"contains(concat(' ', array_join(regexp_extract_all(lower({text}), '[a-z0-9]+', 0), ' '), ' '), concat(' ', lower(term), ' '))"))
-    return top_k(met.select(key, "term").distinct(), [key], [F.desc(F.length("term")), F.col("term")], most, "place")
+    """(key, term, place): the longest terms whose words a text has.
+
+    Only (key, word) is shuffled to meet the terms' first words; the text is met once for each term that it may have.
+    """
+    words = hits.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
+    met = words.join(terms.where(F.length("term") >= least_length).select("term", F.element_at(tokens(F.col("term")), 1).alias("word")), "word")
+    met = met.groupBy(key).agg(F.collect_set("term").alias("terms"))
+    padded = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)), " "), F.lit(" "))
+    said = hits.select(key, text).join(met, key).withColumn("_said", padded)
+    used = F.filter("terms", lambda t: F.contains(F.col("_said"), F.concat(F.lit(" "), F.lower(t), F.lit(" "))))
+    return top_k(said.select(key, F.explode(used).alias("term")).distinct(), [key], [F.desc(F.length("term")), F.col("term")], most, "place")

@@ -14,9 +14,21 @@ def as_of(changes: DataFrame, keys: Sequence[str], value: str, order: Sequence[s
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def as_of_dates(changes: DataFrame, dates: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], at: str) -> DataFrame:
-    """The value in force at each of a few dates (as_of): dates are broadcast, rows after a date are left out."""
-    return changes.join(F.broadcast(dates), F.col(at) <= F.col("as_of")).groupBy(*keys, "as_of").agg(F.max_by(value, F.struct(*order)).alias(value))
+def as_of_dates(changes: DataFrame, dates: Sequence[str], keys: Sequence[str], value: str, order: Sequence[str], at: str, most: int = 10_000) -> DataFrame:
+    """The value in force at each of a few dates (as_of), given as strings in the type of `at`; at most `most` of them.
+
+    Each change falls between two dates; the last of each key between two dates is kept (with partial aggregation), and
+    holds for the dates up to the key's next one. Nothing is joined.
+    """
+    dates = sorted(set(dates))
+    if len(dates) > most:
+        raise ValueError(f"more than {most} dates")
+    every = F.array(*(F.lit(d).cast(changes.schema[at].dataType) for d in dates))
+    gap = F.size(F.filter(every, lambda d: d < F.col(at)))  # how many dates are before the change
+    last = changes.withColumn("_gap", gap).where(F.col("_gap") < len(dates)).groupBy(*keys, "_gap").agg(F.max_by(value, F.struct(*order)).alias(value))
+    then = F.coalesce(F.lead("_gap").over(Window.partitionBy(*keys).orderBy("_gap")), F.lit(len(dates))) - 1
+    held = last.withColumn("_then", then).select(*keys, value, F.explode(F.sequence("_gap", "_then")).alias("_i"))
+    return held.select(*keys, F.get(every, F.col("_i")).alias("as_of"), value)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -47,13 +59,18 @@ def top_k(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, n
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def fuse(rankings: Sequence[DataFrame], keys: Sequence[str], item: str, constant: int = 60) -> DataFrame:
+def fuse(rankings: Sequence[DataFrame], keys: Sequence[str], item: str, constant: int = 60, names: Sequence[str] = ()) -> DataFrame:
     """Reciprocal-rank fusion: sum of 1 / (constant + rank); ties go to the earlier list, then the better rank, then the item."""
     every = None
     for i, ranking in enumerate(rankings):
         one = ranking.select(*keys, item, "rank", F.lit(i).alias("list"))
         every = one if every is None else every.unionByName(one)
-    fused = every.groupBy(*keys, item).agg(F.round(F.sum(1 / (F.lit(constant) + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+    fused = every.groupBy(*keys, item).agg(
+        F.round(F.sum(1 / (F.lit(constant) + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("first"), F.array_sort(F.collect_set("list")).alias("lists")
+    )
+    if names:  # which rankings an item is in, joined by '+'
+        fused = fused.withColumn("via", F.array_join(F.transform("lists", lambda i: F.get(F.array(*map(F.lit, names)), i)), "+"))
+    fused = fused.drop("lists")
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "first", item))).drop("first")
 
 
