@@ -18,7 +18,7 @@ segments; no rows give no rows. A text left without characters is empty, a null
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,15 +193,21 @@ def _ordered(fragments: DataFrame) -> DataFrame:
     return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 4096), "uid long, vid long, run long")
 
 
+def _own(told: str, of: Callable[[F.Column], F.Column]) -> F.Column:
+    """What a set that was gathered by uid holds for the row's own vid."""
+    return F.transform(F.filter(told, lambda x: x.vid == F.col("vid")), of)
+
+
 def repeated_runs(texts: DataFrame) -> DataFrame:
-    """(uid, vid, runs): for each text (uid, vid, text) with repeated strings, ranges begin << 28 | bytes that they cover."""
+    """(uid, told): for each text (uid, vid, text) with repeated strings, the set of (vid, run): ranges begin << 28 | bytes that they cover."""
     places = _repeated_heads(_heads(texts)).groupBy("uid").agg(F.collect_set("place").alias("places"))
     spans = _decided(_intervals(texts.join(places, "uid")))
-    compared = spans.where(F.col("state") == COMPARED).groupBy("uid", F.col("vid").alias("of")).agg(F.collect_set(F.struct("key", "span")).alias("spans"))
-    ordered = _ordered(_fragments(texts.join(compared, "uid").where("vid = of")))
+    compared = spans.where(F.col("state") == COMPARED).groupBy("uid").agg(F.collect_set(F.struct("vid", "key", "span")).alias("told"))
+    met = texts.join(compared, "uid").withColumn("spans", _own("told", lambda x: F.struct(x.key.alias("key"), x.span.alias("span")))).drop("told")
+    ordered = _ordered(_fragments(met.where("size(spans) > 0")))
     bytes_of = F.shiftright("span", 28) * F.lit(1 << 28) + F.shiftright("span", 2).bitwiseAND(F.lit((1 << 26) - 1)) - 1 + LENGTH
     runs = spans.where(F.col("state") == DECIDED).select("uid", "vid", bytes_of.alias("run")).union(ordered)
-    return runs.groupBy("uid", F.col("vid").alias("of")).agg(F.collect_set("run").alias("runs"))
+    return runs.groupBy("uid").agg(F.collect_set(F.struct("vid", "run")).alias("told"))
 
 
 def _with_runs(docs: DataFrame, text_col: str, others: list[str]) -> DataFrame:
@@ -211,8 +217,7 @@ def _with_runs(docs: DataFrame, text_col: str, others: list[str]) -> DataFrame:
     # 128 bits tell rows apart; what holds for one row holds for those that equal it
     told = ["text", *(c for c, kind in held.dtypes[1:] if "map<" not in kind and kind != "variant")]
     texts = held.withColumn("uid", F.xxhash64(*told)).withColumn("vid", F.xxhash64(F.lit(1), *told))
-    runs = repeated_runs(texts).select("uid", "of", "runs")
-    joined = texts.join(runs, "uid", "left").where("of is null or vid = of")
+    joined = texts.join(repeated_runs(texts), "uid", "left").withColumn("runs", _own("told", lambda x: x.run))
     return joined.select("text", "runs", *(f"c{i}" for i in range(len(others))))
 
 
