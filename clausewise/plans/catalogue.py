@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausewise.functions import text as T
 from clausewise.functions.embed import embedded
-from clausewise.operators import chunking, ranking, relational, resolution
+from clausewise.operators import answers, chunking, clauses, extraction, generators, metrics, ranking, relational, resolution
 from clausewise.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,6 +433,79 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(_table(spark, sf_dir, "benchmark"), "text").select("item_id", "embedding")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the lines of one-column pages: 12 points apart, 30 after a blank line."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "text")).where("trim(text) <> ''")
+    y = F.col("n") * 12.0
+    return rows.select("doc", F.col("n").cast("long").alias("n"), F.lit(1).alias("page"), F.lit(0).alias("col"), F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 10).alias("y1"), "text")
+
+
+@_query()
+def parsed_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read as numbered forms, their paragraphs at the root; an automaton, so no SQL form."""
+    found = clauses.parse(_lines(spark, sf_dir), strict=False, root_paragraphs=True).clauses
+    return found.select("doc", "ordinal", "path", "parent_path", "level", "heading", F.length("text").cast("long").alias("n_chars"), F.sha1("text").alias("content"))
+
+
+@_query()
+def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every benchmark passage; RE2 has no look-behind, so there is no SQL form."""
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(extraction.sentences(F.col("text"))).alias("n", "sentence"))
+    return rows.select("item_id", F.col("n").cast("long").alias("n"), "sentence")
+
+
+@_query()
+def made_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One made account for each customer; hashes of the engine, so no SQL form."""
+    n = _table(spark, sf_dir, "customer").count()
+    made = generators.accounts(spark, n, 20_260_101)
+    return made.select("account", "policy_number", "term_start", "term_end", "premium", F.size("coverages").cast("long").alias("n_coverages"), F.size("changes").cast("long").alias("n_changes"), F.size("attached").cast("long").alias("n_attached"))
+
+
+@_query()
+def declaration_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of made declaration questions that the lookup answers exactly, for one account for each customer."""
+    made = generators.accounts(spark, _table(spark, sf_dir, "customer").count(), 20_260_101)
+    asked = generators.declaration_questions(made).withColumn("query_id", F.xxhash64("account", "nth"))
+    known = F.when(F.col("field") == "endorsements", "endorsement_change").otherwise(F.col("field"))
+    return metrics.declarations_score(asked, answers.declared(asked.select("query_id", "account", known.alias("field"), "as_of"), made))
+
+
+@_query("""SELECT CAST(event_type AS VARCHAR) AS form, count(*) AS n, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS rate FROM events GROUP BY event_type""")
+def resolution_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of resolved operations of each amendment; events of a value above 50 stand for them."""
+    ops = _table(spark, sf_dir, "events").select(F.col("event_type").alias("form"), F.when(F.col("value") > 50, "resolved").otherwise("held").alias("status"))
+    return metrics.resolution_rate(ops)
+
+
+@_query("""SELECT b.user_id, b.event_id, max(a.event_id) AS other FROM events b JOIN events a ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.ts < b.ts
+AND NOT EXISTS (SELECT 1 FROM events c WHERE c.user_id = b.user_id AND c.event_type = b.event_type AND c.ts < b.ts AND (c.ts > a.ts OR (c.ts = a.ts AND c.event_id > a.event_id))) GROUP BY ALL""")
+def latest_competitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each event the latest earlier one of its user and kind."""
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("account"), F.col("event_id").alias("form_id"), F.col("ts").alias("effective"), F.lit(None).cast("string").alias("schedule"), F.col("event_type").alias("path"))
+    attached, paths = rows.drop("path"), rows.select("form_id", "path", F.lit("").alias("answer"))
+    return generators.competitor(attached, paths).select(F.col("account").cast("long").alias("user_id"), F.col("form_id").alias("event_id"), "other")
+
+
+@_query(f"""WITH w AS (SELECT item_id, {_words('text')} AS q, text FROM benchmark), {_BM25},
+d AS (SELECT query_id, doc_id, len(w.q) AS asked, len(list_intersect(w.q, {_words('d.text')})) AS matched, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(w.q, {_words('d.text')})) DESC, bm.rank, bm.source, bm.doc_id) AS k
+FROM bm JOIN w ON w.item_id = query_id JOIN documents d USING (doc_id))
+SELECT query_id, doc_id, asked > 0 AND matched / asked >= 0.15 AND (matched >= 2 OR (asked <= 2 AND matched >= 1)) AS can_answer FROM d WHERE k = 1""")
+def extractive_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked document that has the most of each benchmark item's words, and whether they are enough for an answer."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    met = _bm25(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    hits = met.select("query_id", F.format_string("%02d %s %012d", "rank", "source", "doc_id").alias("chunk_id"), "rank", "text")
+    drafts = answers.drafts(asked, hits)
+    best = relational.top_k(_matched(asked, hits), ["query_id"], [F.desc("matched"), F.col("chunk_id")], 1, "nth")
+    return best.join(drafts.select("query_id", "can_answer"), "query_id").select("query_id", F.substring_index("chunk_id", " ", -1).cast("long").alias("doc_id"), "can_answer")
+
+
+def _matched(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    words = F.size(F.array_intersect(T.content_words(F.col("question")), T.content_words(F.col("text"))))
+    return asked.join(hits, "query_id").select("query_id", "chunk_id", words.alias("matched"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -16,20 +16,34 @@ BASE = [
 FORM = "DWELLING@2021-10"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Plans of many small joins: one partition each."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def held(df):
+    """A result as a table of its own, as a store would hold it: plans do not grow from step to step."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
+
+
 @pytest.fixture(scope="module")
 def base(spark):
-    return spark.createDataFrame([(FORM, i, *r) for i, r in enumerate(BASE)], "form string, ordinal int, path string, level int, label string, heading string, term string, text string").cache()
+    return spark.createDataFrame([(FORM, i, *r) for i, r in enumerate(BASE)], "form string, ordinal int, path string, level int, label string, heading string, term string, text string").coalesce(1)
 
 
 @pytest.fixture(scope="module")
 def library(spark, base):
     clauses, forms = generators.library_clauses(spark)
-    return clauses.cache(), forms.cache(), extraction.extract(clauses, forms, base).cache()
+    return clauses, forms, held(extraction.extract(clauses, forms, base))
 
 
 @pytest.fixture(scope="module")
 def accounts(spark):
-    return generators.accounts(spark, 40, 7).cache()
+    return held(generators.accounts(spark, 40, 7))
 
 
 def test_accounts_are_the_same_for_a_seed_and_in_bounds(spark, accounts):
@@ -94,7 +108,8 @@ ATTACHED = [("M-01", DAY(2026, 1, 1), {}), ("M-02", DAY(2026, 1, 1), {}), ("M-03
 @pytest.fixture(scope="module")
 def resolved(spark, base, library):
     accounts = account(spark, ATTACHED)
-    return accounts, chunks.resolve_accounts(accounts, library[2], base)
+    got = chunks.resolve_accounts(accounts, library[2], base)
+    return accounts, resolution.Resolved(held(got.changed), held(got.held), held(got.unresolved))
 
 
 def test_resolved_chunks(spark, base, library, resolved):
@@ -138,7 +153,7 @@ def index(spark, base, resolved):
     accounts, got = resolved
     other = account(spark, []).withColumn("account", F.lit("b"))
     made = chunks.build_chunks(accounts, "header", base, changed=got.changed).unionByName(chunks.build_chunks(other, "header", base, changed=got.changed.limit(0)))
-    return search.build_index(made).cache()
+    return search.build_index(held(made)).cache()
 
 
 def test_search_stays_in_the_account(spark, base, index):
@@ -238,8 +253,7 @@ def test_measures(spark):
 
 def test_question_sets(spark, accounts):
     known = generators.library(spark)
-    declared = generators.declaration_questions(accounts)
-    rows = declared.withColumn("query_id", F.monotonically_increasing_id()).cache()
+    rows = held(generators.declaration_questions(accounts).withColumn("query_id", F.monotonically_increasing_id()))
     facts = answers.declared(rows.select("query_id", "account", F.expr("CASE WHEN field = 'endorsements' THEN 'endorsement_change' ELSE field END").alias("field"), "as_of"), accounts)
     wrong = rows.join(facts.select("query_id", "value"), "query_id", "left").where("value is null or value <> answer").count()
     assert wrong == 0

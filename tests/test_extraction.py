@@ -12,9 +12,18 @@ BASE = [
 ]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Plans of many small joins: one partition each."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def base(spark):
-    return spark.createDataFrame([("b", i, *r) for i, r in enumerate(BASE)], "form string, ordinal long, path string, level int, label string, heading string, term string").cache()
+    return spark.createDataFrame([("b", i, *r) for i, r in enumerate(BASE)], "form string, ordinal long, path string, level int, label string, heading string, term string").coalesce(1).cache()
 
 
 def test_sentences(spark):
