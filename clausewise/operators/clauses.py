@@ -37,6 +37,12 @@ LINES = "doc string, n long, page int, col int, x0 double, y0 double, x1 double,
 _PLACED = "doc string, n long, node int, opens boolean, level int, label string, path string, parent_path string, kind string, label_x double, warning string"
 
 
+def from_layout(lines: DataFrame) -> DataFrame:
+    """(LINES) of layout.merged() or layout.without_margins(): numbered through each document."""
+    order = Window.partitionBy("doc").orderBy("page", "n")
+    return lines.withColumn("n", F.row_number().over(order).cast("long")).select("doc", "n", "page", "col", "x0", "y0", "x1", "y1", "text")
+
+
 def cleaned(text: Column) -> Column:
     """Soft hyphens healed, white space collapsed."""
     out = F.regexp_replace(F.regexp_replace(text, "\u00ad ", ""), "\u00ad", "")

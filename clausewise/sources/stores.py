@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,15 +12,44 @@ from pyspark.sql import functions as F
 VERSION = 1
 
 
+LINES = "doc string, page int, width double, height double, x0 double, y0 double, x1 double, y1 double, text string"
+
+
+def read_lines(spark: SparkSession, path: str, extract: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """(LINES) of the files at a path; extract: a file's bytes to rows of LINES without doc. A file is named by its name without ending."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in LINES.split(", ")]
+        for batch in batches:
+            for file, content in zip(batch.path, batch.content, strict=True):
+                doc = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                yield pd.DataFrame([(doc, *row) for row in extract(content)], columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, LINES)
+
+
+def first_accounts(accounts: DataFrame, n: int | None, *others: DataFrame) -> tuple[DataFrame, ...]:
+    """The first n accounts (all of them without n), and of other tables the rows of those; the limit is the feature."""
+    chosen = accounts if n is None else accounts.orderBy("account").limit(n)
+    return chosen, *(df.join(chosen.select("account"), "account", "left_semi") for df in others)
+
+
+def write_resolved(resolved, path: str) -> None:
+    """The changed clauses of every account in a folder of its own, held and unresolved operations beside them."""
+    write_partitioned(resolved.changed, f"{path}/changed", "account")
+    for name in ("held", "unresolved"):
+        getattr(resolved, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
     """JSON documents (or lines) with a stated schema, so that nothing is read twice to infer it."""
     return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def read_extractions(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Operations of one amendment (its partition only), or of all of them with the file that each came from."""
+    """Operations of one amendment (its partition only), or of all of them in order with the file that each came from."""
     rows = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name"))
-    return rows if key is None else rows.where(F.col("amendment") == key)
+    return rows.orderBy("amendment", "file") if key is None else rows.where(F.col("amendment") == key)
 
 
 def write_partitioned(rows: DataFrame, path: str, by: str) -> None:

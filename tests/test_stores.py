@@ -37,3 +37,28 @@ def test_catalogue_and_partitions(spark, tmp_path):
     assert stores.read_extractions(spark, f"{tmp_path}/ops", "y").select("op_no").collect()[0][0] == 2
     assert stores.read_or_build(spark, f"{tmp_path}/n", lambda: spark.range(3)).count() == 3
     assert stores.read_or_build(spark, f"{tmp_path}/n", lambda: spark.range(9)).count() == 3
+
+
+def test_files_are_read_laid_out_and_parsed(spark, tmp_path):
+    """Two files of a made format (a line each: x, y, text) become clause trees."""
+    from clausewise.operators import clauses, layout
+
+    (tmp_path / "one.txt").write_text("50|100|I. FIRST\n60|130|A. said here\n80|142|and here\n")
+    (tmp_path / "two.txt").write_text("")
+
+    def extract(content):
+        for line in content.decode().splitlines():
+            x, y, text = line.split("|")
+            yield 1, 600.0, 800.0, float(x), float(y), float(x) + 100, float(y) + 10, text
+
+    lines = stores.read_lines(spark, str(tmp_path), extract)
+    parsed = clauses.parse(clauses.from_layout(layout.merged(layout.ordered(lines)))).clauses.orderBy("ordinal").collect()
+    assert [(r.doc, r.path, r.text) for r in parsed] == [("one", "I", "FIRST"), ("one", "I.A", "said here and here")]
+
+
+def test_first_accounts_bring_their_rows(spark):
+    accounts = spark.createDataFrame([("b",), ("a",), ("c",)], "account string")
+    rows = spark.createDataFrame([("a", 1), ("c", 2), ("b", 3)], "account string, q int")
+    chosen, kept = stores.first_accounts(accounts, 2, rows)
+    assert sorted(r.account for r in chosen.collect()) == ["a", "b"] and sorted(r.q for r in kept.collect()) == [1, 3]
+    assert stores.first_accounts(accounts, None, rows)[1].count() == 3
