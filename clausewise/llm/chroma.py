@@ -200,7 +200,6 @@ def _near(x: Recordings, y: Recordings, most: float, equal: bool) -> Iterator[tu
             rate = np.maximum(0, high - low[:, None]) / np.maximum(over, 1)
             limit = np.floor((32 * (most + slack) * np.maximum(need, over) - 16 * np.maximum(0, need - over)) * rate).astype(np.int32)
             limit[over <= 0] = -(1 << 30)
-            inside = np.flatnonzero((low == 0) & (high == len(at)).all(axis=1))  # offsets at which nothing lies beside any column
             across = np.flatnonzero((low != 0) | (high != len(at)).any(axis=1))
             limit, high = limit[:, of], high[across][:, of]
             each = max(1, CELLS // limit.size)
@@ -208,26 +207,33 @@ def _near(x: Recordings, y: Recordings, most: float, equal: bool) -> Iterator[tu
                 part = same[i : i + each]
                 value = x.items[x.first[part][:, None] + at]
                 bits = np.cumsum(np.c_[np.zeros(len(part), np.int32), np.bitwise_count(value)], axis=1, dtype=np.int32)
-                wrong = np.zeros((len(part), *limit.shape), np.uint16)
+                # the longer of (recordings of one length, columns) lies in memory's order
+                tall = len(part) > limit.shape[1]
+                ours = (lambda v: v[None, None, :]) if tall else (lambda v: v[:, None, None])
+                theirs = (lambda t: t[:, :, None]) if tall else (lambda t: t[None])
+                wrong = np.zeros((*limit.shape, len(part)) if tall else (len(part), *limit.shape), np.uint16)
                 differ, count = np.empty(wrong.shape, np.uint64), np.empty(wrong.shape, np.uint8)
                 for k in range(0, len(at), 2):  # two integers at once
                     row = wide + off[0] + at[k]
-                    pair = value[:, k].astype(np.uint64)
+                    pair, held = value[:, k].astype(np.uint64), table
                     if k + 1 < len(at):
                         pair |= value[:, k + 1].astype(np.uint64) << np.uint64(32)
-                        np.bitwise_xor(pairs[row : row + len(off), begin:], pair[:, None, None], out=differ)
-                    else:
-                        np.bitwise_xor(table[row : row + len(off), begin:], pair[:, None, None], out=differ)
+                        held = pairs
+                    np.bitwise_xor(theirs(held[row : row + len(off), begin:]), ours(pair), out=differ)
                     np.bitwise_count(differ, out=count)
                     wrong += count
-                p, o, c = np.nonzero(wrong[:, inside] <= limit[inside])
-                yield part[p], own[begin + c], off[inside[o]]
+                good = wrong <= theirs(limit)
                 if len(across):  # integers beside the column met zeros
                     beside = np.take(bits[:, -1:] - bits, high, axis=1, mode="clip")
                     beside += np.take(bits, low[across], axis=1)[:, :, None]
                     beside += limit[across]
-                    p, o, c = np.nonzero(wrong[:, across] <= beside)
-                    yield part[p], own[begin + c], off[across[o]]
+                    if tall:
+                        good[across] = wrong[across] <= np.moveaxis(beside, 0, 2)
+                    else:
+                        good[:, across] = wrong[:, across] <= beside
+                found = np.nonzero(good)
+                o, c, p = found if tall else (*found[1:], found[0])
+                yield part[p], own[begin + c], off[o]
 
 
 def _batches(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int = 1 << 15) -> Iterator[tuple[np.ndarray, ...]]:
