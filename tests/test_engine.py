@@ -153,7 +153,7 @@ def index(spark, base, resolved):
     accounts, got = resolved
     other = account(spark, []).withColumn("account", F.lit("b"))
     made = chunks.build_chunks(accounts, "header", base, changed=got.changed).unionByName(chunks.build_chunks(other, "header", base, changed=got.changed.limit(0)))
-    return search.build_index(held(made)).cache()
+    return held(search.build_index(held(made)))
 
 
 def test_search_stays_in_the_account(spark, base, index):
@@ -184,7 +184,8 @@ def test_fusion_names_its_lists(spark):
 
 
 def with_chunks(index, base, config=search.Config("hybrid", rerank=True, k=3)):
-    return lambda asked: search.search(index, asked, config, base).join(index.select("account", "chunk_id", "text", "said", "paths", "source", "lineage", "kind", "active", "header"), ["account", "chunk_id"])
+    told = index.select("account", "chunk_id", "text", "said", "paths", "source", "lineage", "kind", "active", "header")
+    return lambda asked: held(search.search(index, held(asked), config, base).join(told, ["account", "chunk_id"]))
 
 
 def test_answers_are_looked_up_drafted_checked_and_withheld(spark, base, index, resolved):
