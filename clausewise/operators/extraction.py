@@ -16,13 +16,10 @@ from pyspark.sql import functions as F
 
 from clausewise.operators.references import resolve_refs, resolve_terms
 
-_CONSIDERATION = r"(?:in\s+consideration\s+of[^,]{0,100},\s*)?"
-_GONE = r"(?:is|are)\s+(?:hereby\s+)?"
-_WHOLLY = r"deleted(?:\s+in\s+(?:its|their)\s+entirety)?"
 #: The directives in the order in which they are tried: kind, pattern, what its groups hold, and what holds of it.
 DIRECTIVES = [
-    ("REPLACE", rf"^{_CONSIDERATION}(.{{3,160}}?)\s+{_GONE}(?:{_WHOLLY}\s+and\s+)?replaced\s+(?:by|with)\s+the\s+following\s*:?\s*(.*)$", "target inline", ""),
-    ("DELETE", rf"^{_CONSIDERATION}(.{{3,160}}?)\s+{_GONE}{_WHOLLY}\s*\.?\s*$", "target", ""),
+    ("REPLACE", r"^(?:in\s+consideration\s+of[^,]{0,100},\s*)?(.{3,160}?)\s+(?:is|are)\s+(?:hereby\s+)?(?:deleted(?:\s+in\s+(?:its|their)\s+entirety)?\s+and\s+)?replaced\s+(?:by|with)\s+the\s+following\s*:?\s*(.*)$", "target inline", ""),
+    ("DELETE", r"^(?:in\s+consideration\s+of[^,]{0,100},\s*)?(.{3,160}?)\s+(?:is|are)\s+(?:hereby\s+)?deleted(?:\s+in\s+(?:its|their)\s+entirety)?\s*\.?\s*$", "target", ""),
     ("DELETE", r"^(.{3,160}?)\s+(?:does|do|shall)\s+not\s+apply(?:\s+to\s+this\s+policy)?\s*\.?\s*$", "target", ""),
     (
         "ADD",
