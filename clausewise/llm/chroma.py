@@ -30,8 +30,16 @@ MOST_ERROR = 0.2
 LEAST = 32
 #: Offsets are first judged on every fourth (second) integer of a recording of 8 such steps or more, with so much more error.
 STEPS, SLACK = (2, 4), 0.05
+#: Frames that one spectrum pass holds, so that its arrays stay in a core's cache.
+FRAMES = 128
 #: Integers of queries that one pass holds, integers of other recordings that meet them at once, offsets judged at once.
-QUERY_ITEMS, ROW_ITEMS, CELLS = 1 << 18, 1 << 18, 1 << 17
+QUERY_ITEMS, ROW_ITEMS, CELLS = 1 << 18, 1 << 20, 1 << 16
+#: After so many sixteenths of its integers a block is looked through; if at most one in FEW offsets is left, only those go on.
+STOPS, FEW = (9, 11, 13), 64
+#: Places of two integers each that are judged at once; the first one's bits; the bits that count there with 0 to 8 integers left.
+WORDS = np.arange(0, 8, 2)
+LOW = np.uint64(0xFFFFFFFF)
+MASKS = np.array([[(1 << 32 * min(2, max(0, n - w))) - 1 for w in WORDS.tolist()] for n in range(9)], np.uint64)
 
 #: The filters by rule: shape, first pitch class, pitch classes and frames that each covers.
 FILTERS = [(i % 6, (5 * i) % (13 - h), h, w) for i in range(16) for h, w in [((3, 4, 6, 9)[i % 4], (4, 8, 12, 16)[(i // 2) % 4])]]
@@ -53,11 +61,17 @@ def frames(samples: np.ndarray, starts: np.ndarray | None = None, rate: int = RA
     """Pitch-class energies of the frames at `starts` (all of one recording), scaled to unit length."""
     starts = np.arange(0, max(0, len(samples) - FRAME + 1), HOP) if starts is None else starts
     out = np.zeros((len(starts), 12), np.float32)
-    to_class, shape, place = _pitch_classes(rate), np.hanning(FRAME).astype(np.float32), np.arange(FRAME)
-    for i in range(0, len(starts), 2048):
-        part = samples[starts[i : i + 2048, None] + place].astype(np.float32)
-        spectrum = np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * shape, axis=1)
-        out[i : i + 2048] = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ to_class
+    if not len(starts):
+        return out
+    to_class, shape = _pitch_classes(rate), np.hanning(FRAME).astype(np.float32)
+    windows = np.lib.stride_tricks.sliding_window_view(samples, FRAME)
+    for i in range(0, len(starts), FRAMES):
+        part = windows[starts[i : i + FRAMES]].astype(np.float32)
+        part -= part.mean(axis=1, keepdims=True)
+        part *= shape
+        spectrum = np.fft.rfft(part, axis=1).view(np.float32)
+        np.multiply(spectrum, spectrum, out=spectrum)
+        out[i : i + FRAMES] = (spectrum[:, ::2] + spectrum[:, 1::2]) @ to_class
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.where(norm > 1e-2, out / np.maximum(norm, 1e-9), 0).astype(np.float32)
 
@@ -160,19 +174,20 @@ def _judged(x: Recordings, y: Recordings, a: np.ndarray, b: np.ndarray, off: np.
     whole = np.maximum(need, over)
     wrong = 16 * np.maximum(0, need - over)
     live = np.flatnonzero((over > 0) & (wrong <= 32 * most * whole))
-    at_x, at_y = x.first[a] + begin, y.first[b] + begin - off
+    at_x, at_y = (x.first[a] + begin)[live], (y.first[b] + begin - off)[live]
+    more, now, limit = over[live], wrong[live], 32 * most * whole[live]
     done = []
-    k = 0
     while len(live):
-        more = over[live] - k
-        differ = x.twos[at_x[live] + k] ^ y.twos[at_y[live] + k]
-        differ[more == 1] &= np.uint64(0xFFFFFFFF)
-        now = wrong[live] + np.bitwise_count(differ)
-        wrong[live] = now
-        k += 2
-        good = now <= 32 * most * whole[live]
-        done.append(live[good & (more <= 2)])
-        live = live[good & (more > 2)]
+        differ = x.twos.take(at_x[:, None] + WORDS, mode="clip") ^ y.twos.take(at_y[:, None] + WORDS, mode="clip")
+        differ &= MASKS[np.minimum(more, len(MASKS) - 1)]
+        now = now + np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        good, ended = now <= limit, more < len(MASKS)
+        hit = good & ended
+        wrong[live[hit]] = now[hit]
+        done.append(live[hit])
+        on = np.flatnonzero(good & ~ended)
+        live, now, limit = live[on], now[on], limit[on]
+        at_x, at_y, more = at_x[on] + len(MASKS) - 1, at_y[on] + len(MASKS) - 1, more[on] - len(MASKS) + 1
     hit = np.concatenate(done) if done else np.zeros(0, np.int64)
     return a[hit], b[hit], off[hit], wrong[hit] / (32 * whole[hit])
 
@@ -184,56 +199,90 @@ def _near(x: Recordings, y: Recordings, most: float, equal: bool) -> Iterator[tu
         step = max((s for s in STEPS if 8 * s <= m), default=1)
         slack = SLACK if step > 1 else 1e-9
         at = np.arange(0, m, step)
-        for g, (own, wide, table) in enumerate(y.groups):
-            pairs = y.pairs(g, step)
+        ones = np.bitwise_count(x.items[x.first[same][:, None] + at]).sum(axis=1)
+        same = same[np.argsort(ones, kind="stable")]  # like sums of bits come together
+        value = x.items[x.first[same][:, None] + at]
+        bits = np.zeros((len(same), len(at) + 1), np.int32)
+        np.cumsum(np.bitwise_count(value), axis=1, out=bits[:, 1:])
+        twos = value[:, ::2].astype(np.uint64)
+        twos[:, : len(at) // 2] |= value[:, 1::2].astype(np.uint64) << np.uint64(32)
+        kind = np.uint16 if 64 * len(at) < 1 << 16 else np.uint32
+        for g, (own, wide, _) in enumerate(y.groups):
             begin = int(np.searchsorted(y.size[own], m, "left" if equal else "right"))
-            if begin == len(own):
-                continue
-            n, of = np.unique(y.size[own[begin:]], return_inverse=True)  # columns of one length have all limits in common
-            need = needed(m, n)
-            least = max(1, int(np.ceil((0.5 - most) * 2 * need.min() - 1e-9)))  # a shorter overlap's charge alone is too much
-            off = np.arange(least - m, wide - least + 1)
-            if not len(off):
+            size = y.size[own[begin:]]
+            shortest = _shortest(m, size, most)
+            size = size[: np.searchsorted(shortest, m, "right")]  # no overlap is longer than m
+            if not len(size):
                 continue
+            new = np.r_[True, size[1:] != size[:-1]]
+            n, of = size[new], np.cumsum(new) - 1  # columns of one length have all limits in common
+            need, columns = needed(m, n), len(size)
+            off = np.arange(shortest[0] - m, n[-1] - shortest[0] + 1)
             over = np.minimum(m, n - off[:, None]) - np.maximum(0, -off)[:, None]
-            low, high = np.searchsorted(at, -off), np.searchsorted(at, n - off[:, None])
+            low, high = (np.maximum(0, -off) + step - 1) // step, (np.clip(n - off[:, None], 0, m) + step - 1) // step
             rate = np.maximum(0, high - low[:, None]) / np.maximum(over, 1)
             limit = np.floor((32 * (most + slack) * np.maximum(need, over) - 16 * np.maximum(0, need - over)) * rate).astype(np.int32)
             limit[over <= 0] = -(1 << 30)
-            across = np.flatnonzero((low != 0) | (high != len(at)).any(axis=1))
-            limit, high = limit[:, of], high[across][:, of]
-            each = max(1, CELLS // limit.size)
+            # end to end, so that an offset's columns follow those of the offset before
+            table = np.ascontiguousarray(y.pairs(g, step)[wide + off[0] : wide + off[-1] + at[-1] + 1, begin : begin + columns]).ravel()
+            cells = len(off) * columns
+            each = max(1, CELLS // cells)
             for i in range(0, len(same), each):
-                part = same[i : i + each]
-                value = x.items[x.first[part][:, None] + at]
-                bits = np.cumsum(np.c_[np.zeros(len(part), np.int32), np.bitwise_count(value)], axis=1, dtype=np.int32)
-                # the longer of (recordings of one length, columns) lies in memory's order
-                tall = len(part) > limit.shape[1]
-                ours = (lambda v: v[None, None, :]) if tall else (lambda v: v[:, None, None])
-                theirs = (lambda t: t[:, :, None]) if tall else (lambda t: t[None])
-                wrong = np.zeros((*limit.shape, len(part)) if tall else (len(part), *limit.shape), np.uint16)
-                differ, count = np.empty(wrong.shape, np.uint64), np.empty(wrong.shape, np.uint8)
-                for k in range(0, len(at), 2):  # two integers at once
-                    row = wide + off[0] + at[k]
-                    pair, held = value[:, k].astype(np.uint64), table
-                    if k + 1 < len(at):
-                        pair |= value[:, k + 1].astype(np.uint64) << np.uint64(32)
-                        held = pairs
-                    np.bitwise_xor(theirs(held[row : row + len(off), begin:]), ours(pair), out=differ)
-                    np.bitwise_count(differ, out=count)
-                    wrong += count
-                good = wrong <= theirs(limit)
-                if len(across):  # integers beside the column met zeros
-                    beside = np.take(bits[:, -1:] - bits, high, axis=1, mode="clip")
-                    beside += np.take(bits, low[across], axis=1)[:, :, None]
-                    beside += limit[across]
-                    if tall:
-                        good[across] = wrong[across] <= np.moveaxis(beside, 0, 2)
-                    else:
-                        good[:, across] = wrong[:, across] <= beside
-                found = np.nonzero(good)
-                o, c, p = found if tall else (*found[1:], found[0])
-                yield part[p], own[begin + c], off[o]
+                own_bits = bits[i : i + each]
+                # integers beside the column meet zeros; the most bits of any recording here come first, its own last
+                bound = limit + (own_bits[:, -1:] - own_bits).max(axis=0)[high] + own_bits.max(axis=0)[low][:, None]
+                bound = np.take((np.maximum(bound, -1) + 1).astype(kind), of, axis=1).ravel()
+                p, cell, wrong = _under(table, columns * at[::2], twos[i : i + each], bound, len(at) % 2 == 1)
+                o, c = np.divmod(cell, columns)
+                u = of[c]
+                good = wrong <= limit[o, u] + own_bits[p, -1] - own_bits[p, high[o, u]] + own_bits[p, low[o]]
+                yield same[i + p[good]], own[begin + c[good]], off[o[good]]
+
+
+def _shortest(m: int, n: np.ndarray, most: float) -> np.ndarray:
+    """The shortest overlap of recordings of m and n integers whose charge alone is not too much."""
+    return np.maximum(1, np.ceil((0.5 - most) * 2 * needed(m, n) - 1e-9)).astype(int)
+
+
+def _under(table: np.ndarray, starts: np.ndarray, twos: np.ndarray, bound: np.ndarray, odd: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of `twos`, cell, bits) where the bits in which twos[row, k] and table[starts[k] + cell] differ, over all k, are fewer than bound[cell].
+
+    With `odd` the last of `twos` is one integer. Sums only grow: once few cells are under their bound, only those are summed on.
+    """
+    n, cells = len(twos), len(bound)
+    tall = n > cells  # the longer of the two lies in memory's order
+    bound = bound[:, None] if tall else bound
+    wrong = np.zeros((cells, n) if tall else (n, cells), bound.dtype)
+    differ, some, count = (np.empty(wrong.shape, kind) for kind in (np.uint64, np.uint8, np.uint8))
+    last = len(starts) - 1
+    stops = {(last + 1) * s // 16 for s in STOPS} if last >= 7 else set()
+    for k, start in enumerate(starts):
+        theirs, ours = table[start : start + cells], twos[:, k]
+        np.bitwise_xor(theirs[:, None] if tall else theirs, ours if tall else ours[:, None], out=differ)
+        if odd and k == last:
+            np.bitwise_and(differ, LOW, out=differ)
+        if k % 3 == 0:  # three counts fit a byte
+            np.bitwise_count(differ, out=some)
+        else:
+            np.bitwise_count(differ, out=count)
+            np.add(some, count, out=some)
+        if k % 3 == 2 or k == last or k + 1 in stops:
+            np.add(wrong, some, out=wrong)
+            some[:] = 0
+        if k == last or k + 1 in stops:
+            left = np.flatnonzero(wrong < bound)
+            if FEW * len(left) <= wrong.size:
+                break
+    row, cell = (left % n, left // n) if tall else (left // cells, left % cells)
+    wrong = wrong.ravel()[left].astype(np.int64)
+    each = max(1, CELLS // max(1, len(left)))
+    for i in range(k + 1, last + 1, each):
+        rest = np.arange(i, min(last + 1, i + each))
+        differ = table[starts[rest] + cell[:, None]] ^ twos[row[:, None], rest]
+        if odd and rest[-1] == last:
+            differ[:, -1] &= LOW
+        wrong += np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return row, cell, wrong
 
 
 def _batches(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int = 1 << 15) -> Iterator[tuple[np.ndarray, ...]]:

@@ -363,6 +363,49 @@ def test_matched_recordings_equal_brute_force(spark):
     assert hits >= 12 and excerpts == 4
 
 
+def recordings(parts):
+    return chroma.Recordings(np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64))
+
+
+def test_recordings_that_cannot_overlap_enough_are_not_compared(monkeypatch):
+    """10 integers beside 100 lack 10 of the 20 that an overlap needs at least; 10 beside 16 have one offset's charge to spare."""
+    rng = np.random.default_rng(6)
+    part = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+    short, long, near = part(10), part(100), part(16)
+    near[3:13] = short
+    assert chroma.align(short, near)[1] <= chroma.MOST_ERROR < chroma.align(short, long)[1]
+    assert [x.tolist() for x in chroma.matches(recordings([short]), recordings([near, long]), chroma.MOST_ERROR)[:3]] == [[0], [0], [-3]]
+
+    def met(*_):
+        raise AssertionError("compared")
+
+    monkeypatch.setattr(chroma.Recordings, "pairs", met)
+    for x, y in (([short], [long]), ([long], [short])):
+        assert not len(chroma.matches(recordings(x), recordings(y), chroma.MOST_ERROR)[0])
+
+
+def test_matches_of_all_lengths_equal_brute_force(monkeypatch):
+    """Blocks that end early and those that do not, few and many recordings of one length, sums beyond 16 bits."""
+    rng = np.random.default_rng(7)
+    part = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+
+    def noisy(items, error):
+        bits = rng.random((len(items), 32)) < error
+        return items ^ (bits << np.arange(32, dtype=np.uint32)).sum(axis=1).astype(np.uint32)
+
+    songs = [part(n) for n in (1, 2, 7, 12, 12, 15, 16, 21, 31, 32, 40, 65, 97, 130, 301)]
+    x = [*songs, *(part(12) for _ in range(60)), part(4100), np.zeros(90, np.uint32)]
+    y = [noisy(s, e) for s in (*songs, x[-2]) for e in (0.02, 0.1)] + [noisy(s[len(s) // 5 :], 0.05) for s in songs if len(s) > 20]
+    y += [np.concatenate([part(5), s, part(40)]) for s in songs if len(s) > 60] + [noisy(np.zeros(n, np.uint32), 0.05) for n in range(70, 130, 4)] + [x[30], part(33), part(400)]
+    expected = [(a, b, *chroma.align(p, q)) for a, p in enumerate(x) for b, q in enumerate(y)]
+    expected = [(a, b, off, pytest.approx(error)) for a, b, off, error in expected if error <= chroma.MOST_ERROR]
+    assert len(expected) >= 50
+    for few in (chroma.FEW, 1, 1 << 40):
+        monkeypatch.setattr(chroma, "FEW", few)
+        got = list(zip(*(v.tolist() for v in chroma.matches(recordings(x), recordings(y), chroma.MOST_ERROR)), strict=True))
+        assert got == expected
+
+
 def test_binary_recordings_are_read_byte_by_byte(spark):
     """Samples of 128 and more in a binary column, null, short and repeated recordings, no rows, a clashing column."""
     rng = np.random.default_rng(3)
