@@ -107,16 +107,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     trim()
 
 
+def _parts(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows and about `size` bytes."""
+    step = max(1, min(rows, size * batch.num_rows // max(batch.nbytes, 1)))
+    for begin in range(0, batch.num_rows, step):
+        yield batch.slice(begin, step)
+
+
 def by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], least: int = 1 << 16, limit: int = 1 << 25) -> Iterator[pa.RecordBatch]:
     """Call work on runs of rows sorted by their first column that end where that column changes.
 
-    A run has about `least` rows or `limit` bytes, or one key's rows where those are more; each row is joined once.
+    A run has about `least` rows or `limit` bytes, or one key's rows where those are more, however many rows a batch has;
+    each row is joined once.
     """
     held: list[pa.RecordBatch] = []
     rows = size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for whole in batches for part in _parts(whole, least, limit)):
         held.append(batch)
         rows += batch.num_rows
         size += batch.nbytes

@@ -4,17 +4,21 @@ Rolling-hash triggers cut the fragments into phrases that overlap by one trigger
 dictionary; its suffixes and the suffixes of the parse (the phrases in rank order) are ranked by prefix doubling. A
 window's place in corpus order is (rank of its phrase's suffix, rank of the parse from the next phrase on): phrase
 suffixes longer than a trigger are prefix-free, so the pair decides. Equal windows are neighbours in this order.
+
+Arrays of a block take some 250 times its bytes, so fragments come in blocks of bounded size (in_blocks).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from clausewise.llm.common import Prefixes
-from clausewise.llm.triggers import LENGTH
+from clausewise.llm.common import SLICE_BYTES, Prefixes, mix
+from clausewise.llm.triggers import LENGTH, SPAN
 
 TRIGGER = 8
 RATE = np.uint64(16)
+#: Bytes of fragments that are ordered at once, about.
+BLOCK = 1 << 18
 
 
 def _doubled(rank: np.ndarray, left: np.ndarray, depth: int, most: int) -> np.ndarray:
@@ -71,3 +75,65 @@ def repeated(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     found[order[1:][same]] = True
     found[order[:-1][same]] = True
     return found
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each range, ranges in order of their begins, by prefix sums of a few of them at a time."""
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + SLICE_BYTES)))
+        out[i:j] = Prefixes(data[begin[i] : end[i:j].max()]).hash(begin[i:j] - begin[i], end[i:j] - begin[i])
+        i = j
+    return out
+
+
+def in_blocks(data: np.ndarray, offsets: np.ndarray, key: np.ndarray, lead: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """repeated() of fragments whose equal windows have equal keys, block by block.
+
+    lead: where each fragment's trigger lies that is the first one of all its windows. Equal windows have it at equal
+    places. So a group of more than `block` bytes is halved by that place, and each half is grouped anew by the bytes
+    that all windows of such places share, until groups are small or consist of one and the same window.
+    """
+    if len(data) <= 2 * block:
+        return repeated(data, offsets)
+    count = np.diff(offsets) - LENGTH + 1
+    window = np.r_[0, np.cumsum(count)]
+    found = np.zeros(window[-1], bool)
+    # a part: those windows of a fragment that have the trigger at `low` to `low + width - 1`
+    part, low, group, width = np.arange(len(count)), np.zeros(len(count), np.int64), key.view(np.uint64), SPAN
+    while True:
+        begin = np.maximum(lead[part] - low - width + 1, 0)
+        end = np.minimum(lead[part] - low + 1, count[part])
+        order = np.argsort(group, kind="stable")
+        part, low, group, begin, end = part[order], low[order], group[order], begin[order], end[order]
+        size = end - begin + LENGTH - 1
+        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        members = np.diff(np.r_[head, len(group)])
+        total = np.add.reduceat(size, head)
+        if width == 1:  # a group is one window
+            found[(window[part] + begin)[np.repeat(members > 1, members)]] = True
+            return found
+        small = np.flatnonzero(np.repeat((members > 1) & (total <= block), members))
+        whole = np.where((members > 1) & (total <= block), total, 0)
+        number = np.repeat((np.cumsum(whole) - whole) // block, members)[small]
+        for own in np.split(small, np.flatnonzero(np.diff(number)) + 1):
+            if not len(own):
+                continue
+            ends = np.r_[0, np.cumsum(size[own])]
+            at = np.arange(ends[-1]) + np.repeat(offsets[part[own]] + begin[own] - ends[:-1], size[own])
+            n = end[own] - begin[own]
+            place = np.arange(n.sum()) + np.repeat(window[part[own]] + begin[own] - (np.cumsum(n) - n), n)
+            found[place[repeated(data[at], ends)]] = True
+        large = np.flatnonzero(np.repeat((members > 1) & (total > block), members))
+        if not len(large):
+            return found
+        width //= 2
+        part, low, group = np.repeat(part[large], 2), np.repeat(low[large], 2), np.repeat(group[large], 2)
+        low[1::2] += width
+        held = (lead[part] >= low) & (lead[part] - count[part] + 1 < low + width)
+        part, low, group = part[held], low[held], group[held]
+        trigger = offsets[part] + lead[part]
+        order = np.argsort(trigger - low)
+        part, low, group, trigger = part[order], low[order], group[order], trigger[order]
+        group = mix(_hashes(data, trigger - low, trigger - low - width + 1 + LENGTH) ^ mix(group + low.astype(np.uint64)))

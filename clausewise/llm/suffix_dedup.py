@@ -5,7 +5,8 @@
 2. The rest of the parse: consecutive windows with the same first and last trigger form an interval. Equal windows
    have equal bytes between those triggers (the key); intervals that are equal as a whole are repeated throughout.
 3. Intervals with a common key that differ at their borders are ordered by suffix arrays of dictionary and parse
-   (prefix_free), in blocks by key; windows that are neighbours with 200 bytes in common are repeated.
+   (prefix_free), in blocks by key; windows that are neighbours with 200 bytes in common are repeated. A key with more
+   than a block holds is parted by the bytes that its windows share, so that a task's arrays stay small.
 
 Equal keys of one slice of a task are merged before the shuffle, so a key has at most one row for each slice.
 
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import by_key, mix, raw, slices
-from clausewise.llm.prefix_free import repeated
+from clausewise.llm.prefix_free import BLOCK, in_blocks
 from clausewise.llm.triggers import GRAM, HEAD, LENGTH, Windows, segments
 
 SINGLE, COPY, SEVERAL = 0, 1, 2  # one place of its key in a slice; a further one; the first of several
 DECIDED, COMPARED = 0, 1
-_LOW = np.int64((1 << 28) - 1)
+_LOW, _WINDOWS, _LEAD = np.int64((1 << 28) - 1), np.int64((1 << 18) - 1), np.int64((1 << 10) - 1)
 
 
 def _merged(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +99,8 @@ def _first(df: DataFrame, *names: str) -> DataFrame:
 def _intervals(texts: DataFrame) -> DataFrame:
     """(key, whole, uid, vid, span) of the intervals whose triggers are repeated; texts: (uid, text, places, vid).
 
-    span: begin << 28 | number of windows << 2 | state. Rows known as repeated by themselves have a free key.
+    span: begin << 28 | first trigger's place from there << 18 | number of windows << 2 | state; both are at most SPAN. Rows
+    known as repeated by themselves have a free key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +122,13 @@ def _intervals(texts: DataFrame) -> DataFrame:
             first, last, at, row = windows.first[hit], windows.last[hit], windows.at[hit], windows.row[hit]
             new = np.r_[True, (first[1:] != first[:-1]) | (last[1:] != last[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])]
             heads = np.flatnonzero(new)
-            begin, n, row = at[heads], np.diff(np.r_[heads, len(hit)]), row[heads]
-            key = windows.prefix.hash(first[heads], last[heads] + GRAM)
-            whole = windows.prefix.hash(begin, begin + n - 1 + LENGTH) + mix((first[heads] - begin << 32 | n).astype(np.uint64))
+            n = np.diff(np.r_[heads, len(hit)])
+            first, last, begin, row = (x[heads].astype(np.int64) for x in (first, last, at, row))
+            key = windows.prefix.hash(first, last + GRAM)
+            whole = windows.prefix.hash(begin, begin + n - 1 + LENGTH) + mix((first - begin << 32 | n).astype(np.uint64))
             state, _ = _merged(key, whole)
             uid, vid = (rows.column(i).to_numpy()[of[row]] for i in (0, 3))
-            span = begin - offsets[row] + base[row] << 28 | n << 2 | state
+            span = begin - offsets[row] + base[row] << 28 | first - begin << 18 | n << 2 | state
             key = np.where(state == COPY, mix(uid.view(np.uint64) + span.view(np.uint64)), key)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(uid), pa.array(vid), pa.array(span)], names=["key", "whole", "uid", "vid", "span"])
 
@@ -154,7 +157,10 @@ def _decided(intervals: DataFrame) -> DataFrame:
 
 
 def _fragments(texts: DataFrame) -> DataFrame:
-    """(key, uid, vid, begin, bytes) of the spans to compare; texts: (uid, text, spans array<struct<key, span>>, vid)."""
+    """(key, uid, vid, place, bytes) of the spans to compare; texts: (uid, text, spans array<struct<key, span>>, vid).
+
+    place: begin << 10 | first trigger's place from there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text in slices(batches):
@@ -162,35 +168,36 @@ def _fragments(texts: DataFrame) -> DataFrame:
             held = rows.column(2)
             flat, per = held.flatten(), pc.list_value_length(held).to_numpy()
             key, span = flat.field(0), flat.field(1).to_numpy()
-            begin, n = span >> 28, (span & _LOW) >> 2
+            begin, n = span >> 28, (span & _WINDOWS) >> 2
             begin_at = begin + np.repeat(offsets[:-1], per)
             size = n - 1 + LENGTH
             ends = np.r_[0, np.cumsum(size)]
             take = np.arange(ends[-1]) + np.repeat(begin_at - ends[:-1], size)
             out = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[take].tobytes())])
             uid, vid = (pa.array(np.repeat(rows.column(i).to_numpy(), per)) for i in (0, 3))
-            yield pa.RecordBatch.from_arrays([key, uid, vid, pa.array(begin), out], names=["key", "uid", "vid", "begin", "bytes"])
+            yield pa.RecordBatch.from_arrays([key, uid, vid, pa.array(span >> 18), out], names=["key", "uid", "vid", "place", "bytes"])
 
-    return _first(texts, "uid", "text", "spans", "vid").mapInArrow(run, "key long, uid long, vid long, begin long, bytes binary")
+    return _first(texts, "uid", "text", "spans", "vid").mapInArrow(run, "key long, uid long, vid long, place long, bytes binary")
 
 
-def _ordered(fragments: DataFrame) -> DataFrame:
-    """(uid, vid, run) of the repeated windows; run: begin << 28 | bytes."""
+def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(uid, vid, run) of the repeated windows of some keys' fragments."""
+    table = table.combine_chunks()
+    data, offsets = raw(table.column(4).combine_chunks().cast(pa.binary()))
+    key, uid, vid, place = (table.column(i).to_numpy() for i in range(4))
+    found = in_blocks(data, offsets, key, place & _LEAD)
+    count = np.diff(offsets) - LENGTH + 1
+    row = np.repeat(np.arange(len(count)), count)
+    at = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)][:-1], count)
+    head = found & np.r_[True, ~found[:-1] | (row[1:] != row[:-1])]
+    tail = found & np.r_[~found[1:] | (row[1:] != row[:-1]), True]
+    a, b = np.flatnonzero(head), np.flatnonzero(tail)
+    yield pa.RecordBatch.from_arrays([pa.array(uid[row[a]]), pa.array(vid[row[a]]), pa.array((place[row[a]] >> 10) + at[a] << 28 | b - a + LENGTH)], names=["uid", "vid", "run"])
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        data, offsets = raw(table.column(4).combine_chunks().cast(pa.binary()))
-        found = repeated(data, offsets)
-        count = np.diff(offsets) - LENGTH + 1
-        row = np.repeat(np.arange(len(count)), count)
-        at = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)][:-1], count)
-        head = found & np.r_[True, ~found[:-1] | (row[1:] != row[:-1])]
-        tail = found & np.r_[~found[1:] | (row[1:] != row[:-1]), True]
-        a, b = np.flatnonzero(head), np.flatnonzero(tail)
-        uid, vid, begin = (table.column(i).to_numpy()[row[a]] for i in (1, 2, 3))
-        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(vid), pa.array(begin + at[a] << 28 | b - a + LENGTH)], names=["uid", "vid", "run"])
 
-    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, work, 4096), "uid long, vid long, run long")
+def _ordered(fragments: DataFrame) -> DataFrame:
+    """(uid, vid, run) of the repeated windows; run: begin << 28 | bytes."""
+    return fragments.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: by_key(batches, _compared, 4096, BLOCK), "uid long, vid long, run long")
 
 
 def _own(told: str, of: Callable[[F.Column], F.Column]) -> F.Column:
@@ -205,7 +212,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     compared = spans.where(F.col("state") == COMPARED).groupBy("uid").agg(F.collect_set(F.struct("vid", "key", "span")).alias("told"))
     met = texts.join(compared, "uid").withColumn("spans", _own("told", lambda x: F.struct(x.key.alias("key"), x.span.alias("span")))).drop("told")
     ordered = _ordered(_fragments(met.where("size(spans) > 0")))
-    bytes_of = F.shiftright("span", 28) * F.lit(1 << 28) + F.shiftright("span", 2).bitwiseAND(F.lit((1 << 26) - 1)) - 1 + LENGTH
+    bytes_of = F.shiftright("span", 28) * F.lit(1 << 28) + F.shiftright("span", 2).bitwiseAND(F.lit((1 << 16) - 1)) - 1 + LENGTH
     runs = spans.where(F.col("state") == DECIDED).select("uid", "vid", bytes_of.alias("run")).union(ordered)
     return runs.groupBy("uid").agg(F.collect_set(F.struct("vid", "run")).alias("told"))
 

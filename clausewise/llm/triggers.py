@@ -15,6 +15,7 @@ SPAN = 128  # the least hash of so many neighbouring places is a trigger
 HEAD = LENGTH - SPAN  # bytes from a window's first trigger that surely lie in the window
 REST = LENGTH - SPAN - GRAM + 1  # places from a window's begin to that of its last full span
 _PLACE = 31
+_PART = 1 << 17  # places that are hashed at once
 
 
 def segments(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -40,17 +41,22 @@ class Windows:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.prefix = Prefixes(data)
-        count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
-        self.row = np.repeat(np.arange(len(count)), count)
-        first = np.r_[0, np.cumsum(count)][:-1]
-        self.at = np.arange(count.sum()) - np.repeat(first - offsets[:-1], count)
         grams = max(len(data) - GRAM + 1, 0)
-        place = np.arange(grams)
-        packed = self.prefix.hash(place, place + GRAM) & ~np.uint64((1 << _PLACE) - 1) | place.astype(np.uint64)
+        packed = np.empty(grams, np.uint64)
+        for a in range(0, grams, _PART):
+            place = np.arange(a, min(a + _PART, grams))
+            packed[place] = self.prefix.hash(place, place + GRAM) & ~np.uint64((1 << _PLACE) - 1) | place.astype(np.uint64)
         step = 1
-        while step < SPAN:
-            packed[: grams - step] = np.minimum(packed[: grams - step], packed[step:]) if grams > step else packed[:0]
+        while step < min(SPAN, grams):
+            np.minimum(packed[: grams - step], packed[step:], out=packed[: grams - step])
             step *= 2
-        self.least = (packed & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        self.first = self.least[self.at]
-        self.last = self.least[self.at + REST - 1]
+        packed &= np.uint64((1 << _PLACE) - 1)
+        least = packed.astype(np.int32)
+        del packed
+        # 32 bits hold a place, and take half the memory
+        count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+        self.row = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        first = np.r_[0, np.cumsum(count)][:-1]
+        self.at = np.arange(count.sum(), dtype=np.int32) - np.repeat((first - offsets[:-1]).astype(np.int32), count)
+        self.first = least[self.at]
+        self.last = least[self.at + (REST - 1)]

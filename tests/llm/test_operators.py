@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent.parent.parent))
 
-from clausewise.llm import boosted, chroma, minhash, nn_descent, packing, pii, prefix_bpe, suffix_dedup, token_counts, toxicity
+from clausewise.llm import boosted, chroma, common, minhash, nn_descent, packing, pii, prefix_bpe, prefix_free, suffix_dedup, token_counts, toxicity, triggers
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -134,6 +134,75 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect())) == sorted(expected)
 
 
+def _hot_key(rng, rows):
+    """Fragments of one key: windows that hold a core of 90 bytes, amid some or many kinds of surroundings; and the core's places."""
+    core = rng.integers(97, 123, 90)
+    left, right = rng.integers(97, 123, (rows // 3, 110)), rng.integers(97, 123, (rows // 3, 200))
+    fragments, lead = [], []
+    for _ in range(rows):
+        low, high = sorted(rng.integers(0, 111, 2))
+        before = left[rng.integers(len(left))].copy()
+        before[: rng.integers(0, 110)] = 98
+        fragments.append(np.r_[before[110 - high :], core, right[rng.integers(len(right))]][: high - low + 200].astype(np.uint8).tobytes())
+        lead.append(int(high))
+    return fragments, lead
+
+
+def test_blocks_of_a_hot_key_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for rows in (12, 300):
+        fragments, lead = _hot_key(rng, rows)
+        seen = Counter(f[i : i + 200] for f in fragments for i in range(len(f) - 199))
+        expected = [seen[f[i : i + 200]] > 1 for f in fragments for i in range(len(f) - 199)]
+        data, offsets = np.frombuffer(b"".join(fragments), np.uint8), np.r_[0, np.cumsum([len(f) for f in fragments])]
+        for block in (200, 3_000, 40_000):
+            assert prefix_free.in_blocks(data, offsets, np.full(rows, -7), np.array(lead), block).tolist() == expected
+
+
+@pytest.mark.parametrize("keys", [1, 500])
+def test_memory_of_compared_windows_follows_no_batch_and_no_key(keys):
+    """10,000 fragments come as one batch; their arrays take less than 150 MB (before: over 700)."""
+    import tracemalloc
+
+    fragments, lead = _hot_key(np.random.default_rng(4), 10_000)
+    key = np.sort(np.arange(10_000) % keys)
+    columns = [pa.array(key), pa.array(np.arange(10_000)), pa.array(np.arange(10_000)), pa.array(np.array(lead)), pa.array(fragments, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "uid", "vid", "place", "bytes"])
+    tracemalloc.start()
+    got = sum(x.num_rows for x in common.by_key(iter([batch]), suffix_dedup._compared, 4096, prefix_free.BLOCK))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got and peak < 150e6
+
+
+def test_runs_of_keys_are_smaller_than_a_batch():
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000) // 30), pa.array(["x" * 50] * 10_000)], names=["key", "text"])
+    for least, limit in ((100, 1 << 25), (1 << 16, 6_000)):
+        runs = []
+        list(common.by_key(iter([batch, batch.slice(0, 0)]), lambda t: iter(runs.append(t.column(0).to_pylist()) or ()), least, limit))
+        assert [x for run in runs for x in run] == batch.column(0).to_pylist()
+        assert max(map(len, runs)) < 300 and all(a[-1] < b[0] for a, b in zip(runs, runs[1:]))
+
+
+def test_windows_of_short_texts_and_their_memory(spark):
+    """Slices of less bytes than a span raised an error; windows of 1 MB took 71 MB."""
+    import tracemalloc
+
+    for n in range(0, 300, 7):
+        windows = triggers.Windows(np.full(n, 97, np.uint8), np.array([0, n]))
+        assert len(windows.at) == len(windows.first) == max(n - 199, 0)
+    rows = [(1, "x" * 40), (2, "y" * 60), (3, "z" * 30)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == [(d, len(t), 0, hashlib.sha256(t.encode()).hexdigest()) for d, t in rows]
+    data = np.random.default_rng(6).integers(97, 123, 1 << 20).astype(np.uint8)
+    triggers.Windows(data, np.array([0, len(data)]))  # powers are kept
+    tracemalloc.start()
+    triggers.Windows(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6
+
+
 def test_long_texts_come_in_segments(spark, monkeypatch):
     """One text of many segments, with a passage twice, across a border, and once in another text."""
     from clausewise.llm import triggers
