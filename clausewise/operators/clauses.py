@@ -12,9 +12,10 @@ the last counts in by_path(); other columns are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ NUMBERED_TERM = r"^([A-Z][A-Za-z0-9'() \-/]{1,50}?)(?:\.\s|$)"
 QUOTED_TERM = "^[\u201c\"]([^\u201d\"]{2,60})[\u201d\"]"
 
 LINES = "doc string, n long, page int, col int, x0 double, y0 double, x1 double, y1 double, text string"
-_PLACED = "doc string, n long, node int, opens boolean, level int, label string, path string, parent_path string, kind string, label_x double, warning string"
+_PLACED = "node int, opens boolean, level int, label string, path string, parent_path string, kind string, label_x double, warning string"
 
 
 def from_layout(lines: DataFrame) -> DataFrame:
@@ -71,8 +72,11 @@ def described(lines: DataFrame) -> DataFrame:
         }
     )
     per_column = Window.partitionBy("doc", "page", "col")
-    gaps = F.array_sort(F.collect_list(F.when(F.col("goes_on") & (F.col("next_gap") > 4) & (F.col("next_gap") < 40), F.col("next_gap"))).over(per_column))
-    seen = seen.withColumn("least", F.greatest(F.lit(GAP), GAP_FACTOR * F.coalesce(F.get(gaps, F.floor(F.size(gaps) / 2).cast("int")), F.lit(LEADING))))
+    # the upper median of a column's gaps, by their places: no row holds the gaps of all
+    gap = F.when(F.col("goes_on") & (F.col("next_gap") > 4) & (F.col("next_gap") < 40), F.col("next_gap"))
+    seen = seen.withColumn("leading", gap).withColumn("place", F.row_number().over(per_column.orderBy(F.asc_nulls_last("leading"))) - 1).withColumn("middle", F.floor(F.count("leading").over(per_column) / 2))
+    median = F.max(F.when(F.col("place") == F.col("middle"), F.col("leading"))).over(per_column)
+    seen = seen.withColumn("least", F.greatest(F.lit(GAP), GAP_FACTOR * F.coalesce(median, F.lit(LEADING))))
     base = F.min(F.when(F.col("label") != "", F.col("x0"))).over(Window.partitionBy("doc", "col"))
     shape = F.col("clean").rlike(HEADING) | F.col("clean").rlike(LEADING_CAPITALS)
     letters = F.length(F.regexp_replace("clean", r"[^\p{L}]", "")) >= 3
@@ -199,23 +203,34 @@ class Automaton:
 
 
 def _placed(lines: DataFrame, strict: bool, root_paragraphs: bool) -> DataFrame:
-    """(doc, n, node, opens, ...): the clause of each line; node is null for the preamble."""
+    """lines with node, opens, ...: the clause of each line; node is null for the preamble.
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        automaton, out = Automaton(strict, root_paragraphs), []
-        for r in batch.sort_values("n").itertuples(index=False):
-            clause, opens, warning = automaton.line(r.label, r.rest, r.rel_x, r.heading, r.breaks, r.slug)
-            if clause is None:
-                out.append((r.doc, r.n, None, False, None, None, None, None, None, None, warning))
-                continue
-            clause.lines += 1
-            parent, _, label = clause.path.rpartition(".")
-            out.append((r.doc, r.n, clause.node, opens, clause.level, label, clause.path, parent or None, clause.kind, clause.x, warning))
-        made = pd.DataFrame(out, columns=[c.split(" ")[0] for c in _PLACED.split(", ")])
-        return made.astype({"node": "Int32", "level": "Int32"})
+    The documents of a partition follow each other, so that a task holds one batch of lines and one automaton at a time.
+    """
 
-    fields = lines.select("doc", "n", "label", "rest", "rel_x", "heading", "breaks", "slug")
-    return fields.groupBy("doc").applyInPandas(run, _PLACED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, automaton = None, None
+        for batch in batches:
+            out = []
+            for name, label, rest, x, heading, breaks, slug in zip(*(batch.column(c).to_pylist() for c in ("doc", "label", "rest", "rel_x", "heading", "breaks", "slug")), strict=True):
+                if automaton is None or name != doc:
+                    doc, automaton = name, Automaton(strict, root_paragraphs)
+                clause, opens, warning = automaton.line(label, rest, x, heading, breaks, slug)
+                if clause is None:
+                    out.append((None, False, None, None, None, None, None, None, warning))
+                    continue
+                clause.lines += 1
+                parent, _, own = clause.path.rpartition(".")
+                out.append((clause.node, opens, clause.level, own, clause.path, parent or None, clause.kind, clause.x, warning))
+            made = [pa.array(c, t) for c, t in zip(zip(*out), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, kept + names)
+
+    names = [c.split(" ")[0] for c in _PLACED.split(", ")]
+    kinds = [{"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}[c.split(" ")[1]] for c in _PLACED.split(", ")]
+    kept = "doc n page col x0 y0 x1 y1 text rest clean rel_x".split()
+    fields = lines.select(*kept, "label", "heading", "breaks", "slug").where("doc is not null and n is not null").repartition("doc").sortWithinPartitions("doc", "n")
+    schema = ", ".join([f"{c} {fields.schema[c].dataType.simpleString()}" for c in kept] + [_PLACED])
+    return fields.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -249,7 +264,7 @@ def parse(lines: DataFrame, strict: bool = True, root_paragraphs: bool = False)
     read without. root_paragraphs: text before any section becomes paragraphs p1, p2, ... instead of the preamble.
     """
     told = described(lines)
-    placed = told.select("doc", "n", "page", "col", "x0", "y0", "x1", "y1", "text", "rest", "clean", "rel_x").join(_placed(told, strict, root_paragraphs), ["doc", "n"])
+    placed = _placed(told, strict, root_paragraphs)
     of_clause = placed.where("node is not null")
     said = F.when(F.col("opens") & (F.col("kind") == "label"), F.col("rest")).otherwise(F.col("text"))
     line = F.struct("n", said.alias("said"), "rel_x", "page", "x0", "y0", "x1", "y1")
