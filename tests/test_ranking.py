@@ -39,3 +39,10 @@ def test_scores_with_few_and_with_many_questions(docs, asked, most, monkeypatch)
     assert set(got) == {(1, "a", 1), (1, "a", 2), (2, "a", 2)} and all(v[0] > 0 for v in got.values())
     one = ranking.bm25(docs, asked.select(F.lit("a").alias("tenant"), "query_id", "token"), "tenant", "key", "text", 5).collect()
     assert {(r.query_id, r.tenant, r.key): (round(r.score, 4), r.rank) for r in one} == got
+
+
+def test_lengths_are_found_once_for_a_vector(spark):
+    vectors = spark.createDataFrame([("a", 1, [3.0, 4.0]), ("a", 2, [4.0, 3.0]), ("b", 3, [1.0, 0.0])], "tenant string, key long, v array<double>")
+    got = ranking.dense(vectors, vectors.select("tenant", F.col("key").alias("query_id"), F.col("v").alias("query")), "tenant", "key", "v", 2, ranking.cosine)
+    assert max(row.count("zip_with(") for row in plan(got).splitlines()) == 1
+    assert {(r.query_id, r.key, r.score, r["rank"]) for r in got.collect()} == {(1, 1, 1.0, 1), (1, 2, 0.96, 2), (2, 2, 1.0, 1), (2, 1, 0.96, 2), (3, 3, 1.0, 1)}
